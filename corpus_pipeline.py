@@ -7,11 +7,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readprep.llm import common, mixing, packing
+from readprep.llm import common, minhash, mixing, packing, quality, suffix_dedup
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labelled ones of them, doesn't reject."""
+    common.clear(spark)
+    return quality.good_documents(docs, common.table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    common.clear(spark)
+    return minhash.distinct_documents(docs)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of 100-byte strings that an earlier document, or the text before, holds."""
+    common.clear(spark)
+    return suffix_dedup.deduplicated_documents(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or thin documents so that sources reach their target shares of the words."""
     common.clear(spark)
@@ -24,7 +42,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, packing.vocabulary_path())
 
 
-STAGES: list[tuple[str, Stage]] = [("mix", mix), ("pack", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", keep_good),
+    ("minhash_near_dedup", drop_near_copies),
+    ("suffix_array_dedup", drop_repeats),
+    ("source_mixing", mix),
+    ("packing", pack),
+]
 
 ORACLE_SQL: str | None = None  # no stage's decisions can be put in SQL
 

@@ -6,15 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, warc
+from . import lm, minhash, mixing, packing, quality, subspace, suffix_dedup, tokencount, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1,
+    "op2_topk": topk.op2,
+    "op3_token_counts": tokencount.op3,
+    "op4_subspace": subspace.op4,
     "op5_mixing": mixing.op5,
+    "op6_quality": quality.op6,
+    "op7_suffix_dedup": suffix_dedup.op7,
     "op8_warc": warc.op8,
+    "op9_minhash": minhash.op9,
+    "op10_lm": lm.op10,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_topk": topk.ORACLE,
+    "op4_subspace": subspace.ORACLE,
+    "op9_minhash": minhash.ORACLE,
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
              q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
