@@ -115,7 +115,8 @@ class TokenTree:
             tokens += self.counter.count(m.group())
             self.reencoded += 1
             e = m.end()
-            if e >= start + len(new) and e - shift >= end and self.find(e - shift)[1] == e - shift:
+            # at least the first leaf gives way, as it takes up what is new
+            if e >= start + len(new) and e - shift >= max(end, at + 1) and self.find(e - shift)[1] == e - shift:
                 stop = e
                 break
         last = self.find(stop - shift)[0]  # the first leaf that stays
