@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..schema import READS
 
 SPLIT = 64 << 20
 BATCH = 8192
@@ -196,5 +195,63 @@ def read_fastq(spark: SparkSession, *paths: str, split: int = SPLIT) -> DataFram
     return out.select("file_id", (F.col("base") + F.col("rec_in_part")).alias("rec_idx"), "id", "seq", "qual")
 
 
-def schema():
-    return READS
+def read_fastq_store(spark: SparkSession, *paths: str) -> DataFrame:
+    """(file, rec_idx, id, seq, qual) of FASTQ files in any store that Spark can read, large ones by many tasks.
+
+    Spark's text source splits files at lines, not at records. Lines of each split are counted first, which numbers
+    them all; records that lie in one split are put together there, and only the few that two splits share are
+    shuffled. The counts are a row for each split."""
+    raw = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text"))
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, int], int] = {}
+        for batch in it:
+            t = pa.Table.from_batches([batch]).group_by(["file", "block"]).aggregate([([], "count_all")])
+            for f, b, n in zip(*[t.column(c).to_pylist() for c in ("file", "block", "count_all")], strict=True):
+                found[f, b] = found.get((f, b), 0) + n
+        cols = list(zip(*[(f, b, n) for (f, b), n in found.items()], strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["file", "block", "n"])
+
+    counts = raw.select("file", "block").mapInArrow(count, "file string, block long, n long").groupBy("file", "block").agg(F.sum("n").alias("n")).collect()
+    first: dict[tuple[str, int], int] = {}
+    total: dict[str, int] = {}
+    for f, b, n in sorted(map(tuple, counts)):
+        first[f, b] = total.get(f, 0)
+        total[f] = total.get(f, 0) + n
+    for f, n in total.items():
+        if n % 4:
+            raise FormatError(f"{f}: record {n // 4 + 1} is truncated, its {_LINES[n % 4]} line is missing")
+    shared = spark.sparkContext.broadcast(first)
+
+    def join(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole records (part 0: id, sequence, quality joined by line feeds), and single lines of the others."""
+        at: dict[tuple[str, int], int] = {}
+        held: list[tuple[str, int, int, str]] = []
+
+        def out(rows: list[tuple[str, int, int, str]]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["file", "record", "part", "text"])
+
+        for batch in it:
+            rows: list[tuple[str, int, int, str]] = []
+            for f, b, text in zip(*[batch.column(c).to_pylist() for c in ("file", "block", "text")], strict=True):
+                line = at.setdefault((f, b), shared.value[f, b])
+                at[f, b] = line + 1
+                if held and (held[0][0], held[0][1]) != (f, line // 4):
+                    rows, held = rows + held, []
+                held.append((f, line // 4, line % 4 + 1, text.rstrip("\r")))
+                if len(held) == 4:
+                    rows.append((f, line // 4, 0, "\n".join((held[0][3], held[1][3], held[3][3]))))
+                    held = []
+            yield out(rows)
+        if held:
+            yield out(held)
+
+    made = raw.mapInArrow(join, "file string, record long, part int, text string")
+    whole = made.filter("part = 0").select("file", "record", "text")
+    lines = made.filter("part > 0").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("x"))
+    split = lines.select("file", "record", F.concat_ws("\n", F.col("x.text")[0], F.col("x.text")[1], F.col("x.text")[3]).alias("text"))
+    x = F.split("text", "\n")
+    out = whole.unionByName(split).select("file", F.col("record").alias("rec_idx"), x[0].alias("id"), x[1].alias("seq"), x[2].alias("qual"))
+    fits = F.length("seq") == F.length("qual")
+    return out.withColumn("qual", F.when(fits, F.col("qual")).otherwise(F.raise_error(F.concat(F.lit("bases and qualities differ in length: "), F.col("id")))))

@@ -38,6 +38,16 @@ def test_fastq_round_trip_and_splits(spark, sample):
         assert df.agg(F.min("rec_idx"), F.max("rec_idx"), F.countDistinct("rec_idx")).first() == (0, len(want) - 1, len(want))
 
 
+def test_fastq_by_sparks_own_reader(spark, sample):
+    want = list(fastq.parse(iter(gzip.open(sample / "s_R1.fq.gz"))))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for path, size in ((sample / "s_R1.fq", "7001"), (sample / "s_R1.fq", "64m"), (sample / "s_R1.fq.gz", "64m")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        df = fastq.read_fastq_store(spark, f"file://{path}")
+        assert [tuple(r)[1:] for r in df.orderBy("rec_idx").collect()] == [(i, *r) for i, r in enumerate(want)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_two_files_and_members(spark, sample, tmp_path):
     (tmp_path / "x.fq.gz").write_bytes((sample / "s_R1.fq.gz").read_bytes() * 2)
     n = fastq.read_fastq(spark, str(sample / "s_R1.fq")).count()
