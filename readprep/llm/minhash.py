@@ -99,10 +99,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def _verified(edges: DataFrame, docs: DataFrame, classes: DataFrame, threshold: float, tag: str) -> DataFrame:
-    """The edges (a, b: classes) whose texts' shingle sets have a Jaccard similarity of at least `threshold`."""
-    edges = materialize(edges, f"{tag}-candidates")
-    ids = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+def _sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, tag: str) -> DataFrame:
+    """(id, s): the sorted shingle hashes of the text of each class in `ids`."""
     want = ids.join(classes.select("id", "rep"), "id")
     texts = docs.join(want, [F.col("_doc").eqNullSafe(F.col("rep")), F.col("_hash") == F.col("id")]).select("id", "_text")
 
@@ -117,9 +115,16 @@ def _verified(edges: DataFrame, docs: DataFrame, classes: DataFrame, threshold:
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["id", "s"])
 
-    sets_ = texts.mapInArrow(sets, "id long, s binary")
-    sets_ = materialize(sets_.groupBy("id").agg(F.first("s").alias("s")), f"{tag}-sets")
-    pairs = edges.join(sets_.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets_.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    found = texts.mapInArrow(sets, "id long, s binary")
+    return materialize(found.groupBy("id").agg(F.first("s").alias("s")), f"{tag}-sets")
+
+
+def _verified(edges: DataFrame, docs: DataFrame, classes: DataFrame, threshold: float, tag: str) -> DataFrame:
+    """The edges (a, b: classes) whose texts' shingle sets have a Jaccard similarity of at least `threshold`."""
+    edges = materialize(edges, f"{tag}-candidates")
+    ids = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    sets = _sets(ids, docs, classes, tag)
+    pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
 
     def hold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -129,34 +134,63 @@ def _verified(edges: DataFrame, docs: DataFrame, classes: DataFrame, threshold:
     return materialize(pairs.select("a", "b", "sa", "sb").mapInArrow(hold, "a long, b long"), f"{tag}-links")
 
 
-def _cross(members: DataFrame, parts: DataFrame, classes: DataFrame, least: int, tag: str) -> DataFrame:
-    """Pairs of different components that share a band and agree in at least `least` registers."""
+def links_between(ids: np.ndarray, comp: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: int, threshold: float) -> list[tuple[int, int]]:
+    """Links between members of `left` and `right` that join different components: enough of them to join every two
+    components that any link joins, at most one for each join. Pairs within a component aren't looked at."""
+    size = np.array([len(x) for x in sets])
+    _, dense = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.r_[0, np.cumsum(size)]
+    here = np.zeros(int(dense.max(initial=-1)) + 1, bool)
+    _, comp = np.unique(comp, return_inverse=True)
+    out = []
+    for i in left:
+        j = right[comp[right] != comp[i]]
+        j = j[(sig[j] == sig[i]).sum(1) >= least]
+        if not len(j):
+            continue
+        own = dense[start[i] : start[i + 1]]
+        here[own] = True
+        at = np.repeat(start[j] - np.r_[0, np.cumsum(size[j])[:-1]], size[j]) + np.arange(int(size[j].sum()))
+        common = np.add.reduceat(here[dense[at]].astype(np.int64), np.r_[0, np.cumsum(size[j])[:-1]])
+        here[own] = False
+        for x in j[common / (size[i] + size[j] - common) >= threshold]:
+            if comp[x] != comp[i]:
+                out.append((int(min(ids[i], ids[x])), int(max(ids[i], ids[x]))))
+                comp[comp == comp[x]] = comp[i]
+    return out
+
+
+def _cross(members: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataFrame, least: int, threshold: float, tag: str) -> DataFrame:
+    """Verified links between different components whose texts share a band and agree in at least `least` registers.
+
+    Bands whose groups have the same members are looked at once. Pairs are verified where they are found, so a task
+    emits fewer links than it has members."""
     named = members.join(parts.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y and n > 2")
-    rows = named.join(mixed.select("band", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), ["band", "key"])
-    rows = rows.join(classes.select("id", "sig"), "id")
+    mixed = named.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"), F.sum(F.hash("id").cast("long")).alias("m1"), F.sum(F.xxhash64("id").bitwiseAND((1 << 40) - 1)).alias("m2"))
+    mixed = mixed.filter("x <> y and n > 2").groupBy("n", "m1", "m2").agg(F.min(F.struct("band", "key")).alias("g"))
+    rows = named.join(mixed.select("g.band", "g.key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), ["band", "key"])
+    rows = materialize(rows.select("band", "key", "id", "component", "chunks"), f"{tag}-mixed")
+    if rows.isEmpty():
+        return rows.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    sets = _sets(rows.select("id").distinct(), docs, classes, f"{tag}-mixed")
+    rows = rows.join(classes.select("id", "sig").join(sets, "id"), "id")
     mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
     # groups share tasks: one sort, then group by group as a stream
     keys = ["band", "key", "lo", "hi"]
-    dealt = rows.select(*keys, "mine", "id", "component", "sig").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = rows.select(*keys, "mine", "id", "component", "sig", "s").repartition(*keys).sortWithinPartitions(*keys)
 
-    def pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(group: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(group)
             ids, comp, mine = (np.asarray(t.column(c)) for c in ("id", "component", "mine"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()]
             lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-            left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
-            out = []
-            for i in left:
-                j = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if lo == hi else True)]
-                if len(j):
-                    j = j[(sig[j] == sig[i]).sum(1) >= least]
-                    out.append(np.stack((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))))
-            both = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            found = links_between(ids, comp, sig, sets, np.flatnonzero(mine == lo), np.flatnonzero(mine == hi), least, threshold)
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         held: list[pa.RecordBatch] = []
         last = None
@@ -172,7 +206,7 @@ def _cross(members: DataFrame, parts: DataFrame, classes: DataFrame, least: int,
         if held:
             yield of(held)
 
-    return dealt.mapInArrow(pairs, "a long, b long").distinct()
+    return materialize(dealt.mapInArrow(links, "a long, b long").distinct(), f"{tag}-cross")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tag: str = "minhash") -> DataFrame:
@@ -212,9 +246,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tag: str = "m
 
     links = _verified(near.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"), base, classes, threshold, tag)
     parts = components(links, tag)
-    cross = materialize(_cross(members, parts, classes, LEAST_AGREE, tag), f"{tag}-cross")
-    if not cross.isEmpty():
-        more = _verified(cross, base, classes, threshold, f"{tag}-cross")
+    more = _cross(members, parts, classes, base, LEAST_AGREE, threshold, tag)
+    if not more.isEmpty():
         parts = components(links.unionByName(more), tag)
     named = classes.select("id", "rep").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     low = named.groupBy("component").agg(F.min("rep").alias("low"))
