@@ -30,9 +30,11 @@ def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def window(m: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """The matrix of the pieces [start, stop) of each row."""
     size = stop - start
-    at = np.arange(int(size.max(initial=0)))[None, :]
+    at = np.arange(int(size.max(initial=0)), dtype=np.int32)[None, :]
     if not m.shape[1]:
         return np.zeros((len(m), at.shape[1]), np.uint8)
+    if not start.any():
+        return np.where(at < size[:, None], m[:, : at.shape[1]], np.uint8(0))
     out = np.take_along_axis(m, np.minimum(start[:, None] + at, m.shape[1] - 1), 1)
     out[at >= size[:, None]] = 0
     return out
@@ -42,22 +44,31 @@ def flipped(m: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Each row's bytes from its end to its start."""
     if not m.shape[1]:
         return m
-    at = lens[:, None] - 1 - np.arange(m.shape[1])[None, :]
-    out = np.take_along_axis(m, np.maximum(at, 0), 1)
-    out[at < 0] = 0
+    out = np.ascontiguousarray(m[:, ::-1])
+    rows = np.flatnonzero(lens != m.shape[1])
+    if len(rows):
+        at = lens[rows, None] - 1 - np.arange(m.shape[1])[None, :]
+        part = np.take_along_axis(m[rows], np.maximum(at, 0), 1)
+        part[at < 0] = 0
+        out[rows] = part
     return out
 
 
+def _sums(wide: int) -> type:
+    """Small integers for running sums over reads of this length."""
+    return np.int16 if wide < 120 else np.int32
+
+
 def quality_keep(qual: np.ndarray, lens: np.ndarray, cutoff: int, offset: int = 33, seq: np.ndarray | None = None) -> np.ndarray:
     """How many bases the 3' quality trim keeps; with `seq`, a G counts +1 whatever its quality (two-colour chemistry).
 
     Sums cutoff - quality from the 3' end until the sum is negative; cuts where it first is largest, if positive."""
     if not qual.shape[1]:
         return lens.copy()
-    add = cutoff - np.maximum(flipped(qual, lens).astype(np.int32) - offset, 0)
+    add = cutoff - np.maximum(flipped(qual, lens).astype(_sums(qual.shape[1])) - offset, 0)
     if seq is not None:
         add = np.where(flipped(seq, lens) == ord("G"), 1, add)
-    run = np.cumsum(add, 1)
+    run = np.cumsum(add, 1, dtype=add.dtype)
     over = np.logical_or.accumulate(run < 0, 1) | (np.arange(run.shape[1])[None, :] >= lens[:, None])
     run[over] = 0
     at = run.argmax(1)
@@ -74,8 +85,9 @@ def homopolymer(seq: np.ndarray, lens: np.ndarray, base: str, head: bool = False
     m = seq if head else flipped(seq, lens)
     hit = m == ord(base)
     inside = np.arange(m.shape[1])[None, :] < lens[:, None]
-    score = np.cumsum(np.where(hit, 1, -2), 1)
-    ok = inside & (np.cumsum(~hit, 1) * 5 <= np.arange(1, m.shape[1] + 1)[None, :])
+    kind = _sums(m.shape[1])
+    score = np.cumsum(np.where(hit, kind(1), kind(-2)), 1, dtype=kind)
+    ok = inside & (np.cumsum(~hit, 1, dtype=kind) * kind(5) <= np.arange(1, m.shape[1] + 1, dtype=kind)[None, :])
     score = np.where(ok, score, 0)
     at = score.argmax(1)
     n = np.where(score[np.arange(len(score)), at] > 0, at + 1, 0)
@@ -95,8 +107,59 @@ def align(seq: np.ndarray, lens: np.ndarray, adapter: str, rate: float, min_over
     out = np.full((len(seq), 4), -1, np.int32)
     if not adapter or min_overlap < 1 or not seq.shape[1]:
         return out
+    pieces = _pieces(adapter, rate)
     for at in range(0, len(seq), BLOCK):
-        out[at : at + BLOCK] = _align(seq[at : at + BLOCK], lens[at : at + BLOCK], adapter, rate, min_overlap)
+        m, n, own = seq[at : at + BLOCK], lens[at : at + BLOCK], out[at : at + BLOCK]
+        if pieces is None:
+            own[:] = _align(m, n, adapter, rate, min_overlap)
+            continue
+        near = np.zeros(len(m), bool)
+        for p in pieces:
+            near |= _holds(m, p)
+        rest = np.flatnonzero(~near)
+        own[rest] = _exact_end(m[rest], n[rest], adapter, min_overlap)
+        near = np.flatnonzero(near)
+        own[near] = _align(m[near], n[near], adapter, rate, min_overlap)
+    return out
+
+
+def _pieces(adapter: str, rate: float) -> list[bytes] | None:
+    """Pieces of the adapter of which every match but an exact one at the read's end holds one unchanged.
+
+    A match with k errors covers at least the shortest prefix that allows k; cut into k + 1 pieces, that prefix keeps one of
+    them. None if pieces would be too short to tell anything."""
+    out = {adapter.encode()}  # an exact full match
+    for k in range(1, error_budget(len(adapter), rate) + 1):
+        n = next(i for i in range(1, len(adapter) + 1) if error_budget(i, rate) >= k)
+        cuts = [n * i // (k + 1) for i in range(k + 2)]
+        out |= {adapter[a:b].encode() for a, b in zip(cuts, cuts[1:], strict=False)}
+    least = min(map(len, out))
+    return None if least < 4 else [p for p in out if not any(q != p and q in p for q in out)]
+
+
+def _holds(m: np.ndarray, piece: bytes) -> np.ndarray:
+    """Which rows hold these bytes; padding is no base, so a hit lies within the read."""
+    n = m.shape[1] - len(piece) + 1
+    if n <= 0:
+        return np.zeros(len(m), bool)
+    hit = m[:, :n] == piece[0]
+    for i, b in enumerate(piece[1:], 1):
+        hit &= m[:, i : i + n] == b
+    return hit.any(1)
+
+
+def _exact_end(m: np.ndarray, lens: np.ndarray, adapter: str, min_overlap: int) -> np.ndarray:
+    """Matches without errors of a prefix of the adapter with the end of the read, the longest first."""
+    k = len(adapter)
+    tail = flipped(m, lens)[:, : min(k, m.shape[1])]
+    out = np.full((len(m), 4), -1, np.int32)
+    open_ = np.ones(len(m), bool)
+    for i in range(min(k, m.shape[1]), min_overlap - 1, -1):
+        hit = open_ & (lens >= i)
+        for j in range(i):
+            hit &= tail[:, j] == ord(adapter[i - 1 - j])
+        out[hit] = np.stack((lens - i, lens, np.full(len(m), i), np.zeros(len(m))), 1)[hit]
+        open_ &= ~hit
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -18,6 +19,7 @@ from ..sinks.ubam import header, write_ubam, write_ubam_pairs
 from ..sources.fastq import detect_format, read_fastq, sanity_check
 from ..sources.sheets import read_sheet
 from ..sources.ubam import peek_header, read_ubam, read_ubam_sides
+from . import qc
 
 TOOL, VERSION = "readprep", "1.0"
 
@@ -64,6 +66,16 @@ def _report(o: Options, run: Run, path: str, s: dict, side: int, pair: dict | No
     return out
 
 
+def _qc(o: Options, reads: DataFrame, path: str) -> list[str]:
+    """Per-position, length, GC and duplication counts of what was written, as JSON; a row for each position or length."""
+    if not o.fastqc:
+        return []
+    name = f"{Path(path).with_suffix('')}_qc.json"
+    parts = {"per_position": qc.per_position(reads), "lengths": qc.lengths(reads), "gc_content": qc.gc_content(reads), "duplication": qc.duplication(reads)}
+    Path(name).write_text(json.dumps({k: sorted((r.asDict() for r in df.collect()), key=lambda r: next(iter(r.values()))) for k, df in parts.items()}, indent=1))
+    return [name]
+
+
 def _command(o: Options) -> str:
     return " ".join([TOOL, *o.inputs])
 
@@ -92,7 +104,7 @@ def single(spark: SparkSession, o: Options, path: str) -> Outcome:
                 write_clumped(kept, out, "r", o.compression)
             else:
                 write_fastq(kept, out, "r", gzip=gz, level=o.compression)
-        outputs = [out]
+        outputs = [out, *_qc(o, kept.select("r.*"), out)]
         if o.demux:
             outputs += demux(spark, o, kept.select("rec_idx", "r.*"), out, gz)
     finally:
@@ -149,6 +161,8 @@ def paired(spark: SparkSession, o: Options, r1: str, r2: str | None) -> Outcome:
             names = naming.interleaved(r1, o.output_dir, o.basename) if r2 is None else naming.paired(r1, r2, o.output_dir, o.basename, gz)
             for n, name in enumerate(names, 1):
                 outputs.append(write_clumped(kept, name, f"r{n}", o.compression) if clumped else write_fastq(kept, name, f"r{n}", gzip=gz, level=o.compression))
+            for n, name in enumerate(names, 1):
+                outputs += _qc(o, kept.select(f"r{n}.*"), name)
             if o.retain_unpaired:
                 for n, name in enumerate(naming.paired(r1, r2 or r1, o.output_dir, o.basename, gz, "unpaired"), 1):
                     outputs.append(write_fastq(t.filter(f"v.r{n}_ok"), name, f"r{n}", gzip=gz, level=o.compression))

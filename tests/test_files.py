@@ -112,8 +112,10 @@ def test_sheet(spark, tmp_path):
 
 
 def test_single_run(spark, sample, tmp_path):
-    o = Options(inputs=(str(sample / "s_R1.fq.gz"),), output_dir=str(tmp_path), demux=None, max_n=5, trim_n=True)
+    o = Options(inputs=(str(sample / "s_R1.fq.gz"),), output_dir=str(tmp_path), demux=None, max_n=5, trim_n=True, fastqc=True)
     (out,) = run(spark, o)
+    qc = json.load(open(out.outputs.pop(1)))
+    assert sum(x["reads"] for x in qc["lengths"]) == out.stats[0]["reads_written"]
     assert [p.rpartition("/")[2] for p in out.outputs] == ["s_R1_trimmed.fq.gz", "s_R1.fq.gz_trimming_report.txt", "s_R1.fq.gz_trimming_report.json"]
     written = list(fastq.parse(iter(gzip.open(out.outputs[0]))))
     assert len(written) == out.stats[0]["reads_written"] and sum(len(s) for _, s, _ in written) == out.stats[0]["bp_written"]
