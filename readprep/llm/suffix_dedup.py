@@ -280,23 +280,29 @@ def _deal(texts: DataFrame, length: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         known: dict[bytes, tuple[int, int]] = {}
-        for batch in it:
+        salt = lambda row: mix64(row.astype(np.uint64) + np.uint64(1))
+        for batch in batches_of(it, 1 << 20, "z"):
             out: list[tuple] = []
-            for order, packed, wanted in zip(batch.column("ord").to_pylist(), batch.column("z").to_pylist(), batch.column("wanted"), strict=True):
-                data = unpack.decompress(packed)
-                raw = np.frombuffer(data, np.uint8)
-                _, start, end, m, _ = segments(raw, np.array([0, len(raw)]), length)
-                want = np.asarray(wanted.values).view(np.uint64)
-                for k in np.flatnonzero(np.isin(m, want)):
-                    s, e = int(start[k]), int(end[k]) + length - 1
-                    piece = data[s:e]
-                    mark = hashlib.blake2b(piece, digest_size=16).digest()
-                    if (seen := known.get(mark)) is not None and seen < (order, s):
-                        out.append((1, None, order, s, e, None))
-                    else:  # an earlier one: what was sent before it is found to repeat it in the shard
-                        if len(known) < 400_000 or seen is not None:
-                            known[mark] = (order, s)
-                        out.append((0, int(m[k].astype(np.int64)), order, s, e, piece))
+            order = batch.column("ord").to_pylist()
+            texts = [unpack.decompress(z) for z in batch.column("z").to_pylist()]
+            data, offsets = b"".join(texts), np.cumsum(np.r_[0, [len(x) for x in texts]])
+            row, start, end, m, _ = segments(np.frombuffer(data, np.uint8), offsets, length)
+            wanted = batch.column("wanted")
+            of = np.repeat(np.arange(len(order)), np.diff(np.asarray(wanted.offsets)))
+            # a chance hit deals out a segment in vain, no more
+            want = np.isin(m ^ salt(row), np.asarray(wanted.flatten()).view(np.uint64) ^ salt(of))
+            row, start, end, m = row[want], start[want], end[want] + length - 1, m[want].astype(np.int64)
+            place = start - offsets[row]
+            for r, s, e, v, at in zip(row.tolist(), start.tolist(), end.tolist(), m.tolist(), place.tolist(), strict=True):
+                piece = data[s:e]
+                mark = hashlib.blake2b(piece, digest_size=16).digest()
+                here = (order[r], at)
+                if (seen := known.get(mark)) is not None and seen < here:
+                    out.append((1, None, order[r], at, at + e - s, None))
+                else:  # an earlier one: what was sent before it is found to repeat it in the shard
+                    if len(known) < 400_000 or seen is not None:
+                        known[mark] = here
+                    out.append((0, v, order[r], at, at + e - s, piece))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "minimizer", "ord", "start", "stop", "bytes"])
@@ -313,8 +319,13 @@ def _shards(dealt: DataFrame, length: int, memory: int) -> DataFrame:
             order, start, stop = (np.asarray(t.column(c)) for c in ("ord", "start", "stop"))
             by = np.lexsort((start, order))
             order, start, stop = order[by], start[by], stop[by]
-            joined = t.column("bytes").combine_chunks()
-            raw, offsets = text_bytes(joined.take(pa.array(by)))
+            joined = t.column("bytes").combine_chunks().take(pa.array(by))
+            code = np.asarray(joined.dictionary_encode().indices)
+            first = np.diff(np.maximum.accumulate(code), prepend=-1) > 0  # codes are numbered as they come
+            again = ~first  # equal to an earlier segment as a whole
+            whole = [order[again], start[again], stop[again]]
+            order, start, stop = order[first], start[first], stop[first]
+            raw, offsets = text_bytes(joined.filter(pa.array(first)))
             space = Space(memory)
             found = repeats(raw, offsets[:-1], offsets[:-1] + (stop - start) - length + 1, length, space)
             space.close()
@@ -324,7 +335,8 @@ def _shards(dealt: DataFrame, length: int, memory: int) -> DataFrame:
             last = np.r_[new[1:], len(found)] - 1 if len(found) else new
             seg, a, b = k[new], found[new], found[last] + length
             shift = start[seg] - offsets[seg]
-            return pa.RecordBatch.from_arrays([pa.array(order[seg]), pa.array(a + shift), pa.array(b + shift)], names=["ord", "start", "stop"])
+            cols = [np.concatenate(x) for x in zip(whole, (order[seg], a + shift, b + shift), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["ord", "start", "stop"])
 
         held: list[pa.RecordBatch] = []
         size, last = 0, None
