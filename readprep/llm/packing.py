@@ -8,6 +8,9 @@ of each length go to which windows; pieces are then numbered within their length
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -34,9 +37,6 @@ class Encoder:
     MARK = "\x01"
 
     def __init__(self, path: str):
-        import json
-
-        import regex
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -45,8 +45,11 @@ class Encoder:
             spec = json.load(f)
         model, split = spec["model"], next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.split = regex.compile(split)
-        self.other = regex.compile("[\x01\u0130\u0250-\U0010ffff]|" + "|".join(map(regex.escape, self.special)))
+        # the pattern's classes, spelt out over the letters of the fast way; upper case is gone by then
+        own = [chr(i) for i in range(0x250)]
+        of = lambda kind: "".join(c for c in own if unicodedata.category(c)[0] == kind)
+        self.split = re.compile(split.replace("\\p{L}", of("L")).replace("\\p{N}", of("N")).replace("\\s", "\t-\r \x85\xa0"))
+        self.other = re.compile("[\x01\u0130\u0250-\U0010ffff]")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         back = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         end = model["end_of_word_suffix"]
@@ -62,7 +65,7 @@ class Encoder:
         self.bpe = tiktoken.Encoding("word-ends", pat_str=f"[^{self.MARK}]+{self.MARK}", mergeable_ranks={t: i for i, t in enumerate(order)}, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if self.other.search(text):
+        if (not text.isascii() or self.MARK in text) and self.other.search(text) or any(s in text for s in self.special):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = self.split.findall(text.lower())
         return self.ids[self.bpe.encode_ordinary(self.MARK.join(words) + self.MARK)].tobytes() if words else b""
