@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import n_count
@@ -20,22 +20,35 @@ def too_many_n(seq: Column, max_n: float | None) -> Column:
     return F.when(F.length(seq) == 0, True).otherwise(over)
 
 
-def single_verdict(seq: Column, had_adapter: Column, c: TrimConfig) -> Column:
-    """untrimmed, too_many_n, too_short, too_long or pass, in this order."""
+def single_verdict(seq: Column, had_adapter: Column, c: TrimConfig, size: Column | None = None) -> Column:
+    """untrimmed, too_many_n, too_short, too_long or pass, in this order. `size`: the length of seq where it is known."""
+    size = F.length(seq) if size is None else size
     out = F.when(F.lit(c.discard_untrimmed) & ~had_adapter, UNTRIMMED)
-    out = out.when(too_many_n(seq, c.max_n), MANY_N).when(F.length(seq) < c.length_cutoff, SHORT)
+    out = out.when(too_many_n(seq, c.max_n), MANY_N).when(size < c.length_cutoff, SHORT)
     if c.max_length is not None:
-        out = out.when(F.length(seq) > c.max_length, LONG)
+        out = out.when(size > c.max_length, LONG)
     return out.otherwise(PASS)
 
 
-def pair_verdict(seq1: Column, seq2: Column, had1: Column, had2: Column, c: TrimConfig) -> Column:
+def pair_verdict(seq1: Column, seq2: Column, had1: Column, had2: Column, c: TrimConfig, size1: Column | None = None, size2: Column | None = None) -> Column:
     """Struct (verdict, r1_ok, r2_ok): each mate of a pair with a short mate may be rescued on its own length."""
-    either = lambda f: f(seq1) | f(seq2)
+    n1, n2 = (F.length(q) if n is None else n for q, n in ((seq1, size1), (seq2, size2)))
     out = F.when(F.lit(c.discard_untrimmed) & ~had1 & ~had2, UNTRIMMED)
-    out = out.when(either(lambda s: too_many_n(s, c.max_n)), MANY_N).when(either(lambda s: F.length(s) < c.length_cutoff), SHORT)
+    out = out.when(too_many_n(seq1, c.max_n) | too_many_n(seq2, c.max_n), MANY_N).when(F.least(n1, n2) < c.length_cutoff, SHORT)
     if c.max_length is not None:
-        out = out.when(either(lambda s: F.length(s) > c.max_length), LONG)
+        out = out.when(F.greatest(n1, n2) > c.max_length, LONG)
     verdict = out.otherwise(PASS)
-    ok = lambda s, n: (verdict == SHORT) & F.lit(c.retain_unpaired) & (F.length(s) >= n)
-    return F.struct(verdict.alias("verdict"), ok(seq1, c.length_1).alias("r1_ok"), ok(seq2, c.length_2).alias("r2_ok"))
+    ok = lambda size, n: (verdict == SHORT) & F.lit(c.retain_unpaired) & (size >= n)
+    return F.struct(verdict.alias("verdict"), ok(n1, c.length_1).alias("r1_ok"), ok(n2, c.length_2).alias("r2_ok"))
+
+
+def judge(trimmed: DataFrame, c: TrimConfig) -> DataFrame:
+    """Trimmed reads with their verdict; bases are looked at only where there is a limit of Ns."""
+    t = F.col("t")
+    return trimmed.withColumn("verdict", single_verdict(F.col("r.seq"), F.size(t["matches"]) > 0, c, t["stop"] - t["start"]))
+
+
+def judge_pairs(trimmed: DataFrame, c: TrimConfig) -> DataFrame:
+    """Trimmed pairs with v: verdict, r1_ok, r2_ok."""
+    had, size = zip(*[(F.size(f"t{n}.matches") > 0, F.col(f"t{n}.stop") - F.col(f"t{n}.start")) for n in (1, 2)], strict=True)
+    return trimmed.withColumn("v", pair_verdict(F.col("r1.seq"), F.col("r2.seq"), *had, c, *size))

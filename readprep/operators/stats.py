@@ -31,7 +31,6 @@ def counters(t: Column, in_len: Column, out_len: Column, verdict: Column, c: Tri
     """The aggregates of one side, over trimmed rows. Filter counters of pairs lie with the pair, not with its sides."""
     written = verdict == V.PASS
     own = lambda v: (verdict == v) if single else F.lit(False)
-    untrimmed = (verdict == V.UNTRIMMED) if single else (verdict == V.UNTRIMMED)
     return [
         F.count(F.lit(1)).alias("total_reads"),
         _count(had_adapter(t), "reads_with_adapter"),
@@ -43,7 +42,7 @@ def counters(t: Column, in_len: Column, out_len: Column, verdict: Column, c: Tri
         _count(own(V.LONG), "too_long"),
         _count(own(V.MANY_N), "too_many_n"),
         _count(written, "reads_written"),
-        _count(untrimmed, "discarded_untrimmed"),
+        _count(verdict == V.UNTRIMMED, "discarded_untrimmed"),
         _count(t["rrbs3"], "rrbs_3prime"),
         _count(t["rrbs5"], "rrbs_5prime"),
         _count(F.lit(c.rrbs and side == 2) & (t["clip5"] > 0), "rrbs_r2_clipped"),
@@ -56,11 +55,11 @@ def counters(t: Column, in_len: Column, out_len: Column, verdict: Column, c: Tri
 
 def single_stats(trimmed: DataFrame, c: TrimConfig) -> DataFrame:
     """One row of COUNTERS over trimmed reads with a verdict column."""
-    return trimmed.agg(*counters(F.col("t"), F.col("in_len"), F.length("r.seq"), F.col("verdict"), c))
+    return trimmed.agg(*counters(F.col("t"), F.col("in_len"), F.col("t.stop") - F.col("t.start"), F.col("verdict"), c))
 
 
 def side_stats(pairs: DataFrame, c: TrimConfig, side: int) -> DataFrame:
-    return pairs.agg(*counters(F.col(f"t{side}"), F.col(f"in{side}"), F.length(f"r{side}.seq"), F.col("v.verdict"), c, side, False))
+    return pairs.agg(*counters(F.col(f"t{side}"), F.col(f"in{side}"), F.col(f"t{side}.stop") - F.col(f"t{side}.start"), F.col("v.verdict"), c, side, False))
 
 
 def pair_stats(pairs: DataFrame) -> DataFrame:

@@ -87,15 +87,23 @@ def trim_read(read: Column, t: Column, c: TrimConfig) -> Column:
     return F.struct(read_id.alias("id"), cut(read["seq"]).alias("seq"), cut(read["qual"]).alias("qual"))
 
 
+def once(df: DataFrame, **udfs: Column) -> DataFrame:
+    """Add columns that predicates on them don't compute anew: a generator stands between, which only predicates on
+    other columns pass on their way to the scan."""
+    for name, c in udfs.items():
+        df = df.select("*", F.explode(F.array(c)).alias(name))
+    return df
+
+
 def trim_single(reads: DataFrame, c: TrimConfig) -> DataFrame:
     """reads (.., id, seq, qual) with r: the trimmed read, t: what was done, in_len: bases before."""
-    read = F.struct("id", "seq", "qual")
-    out = reads.withColumn("t", trim_udf(c)(F.col("seq"), F.col("qual"))).withColumn("in_len", F.length("seq"))
-    return out.withColumn("r", trim_read(read, F.col("t"), c))
+    out = once(reads, t=trim_udf(c)(F.col("seq"), F.col("qual"))).withColumn("in_len", F.length("seq"))
+    return out.withColumn("r", trim_read(F.struct("id", "seq", "qual"), F.col("t"), c))
 
 
 def trim_pairs(pairs: DataFrame, c: TrimConfig) -> DataFrame:
     """pairs (.., r1, r2[, pt]) with both mates trimmed; t1, t2: what was done, in1, in2: bases before."""
-    out = pairs.withColumn("t1", trim_udf(c, 1)(F.col("r1.seq"), F.col("r1.qual"))).withColumn("t2", trim_udf(c, 2)(F.col("r2.seq"), F.col("r2.qual")))
+    both = F.struct(trim_udf(c, 1)(F.col("r1.seq"), F.col("r1.qual")).alias("t1"), trim_udf(c, 2)(F.col("r2.seq"), F.col("r2.qual")).alias("t2"))
+    out = once(pairs, t=both).withColumns({"t1": F.col("t.t1"), "t2": F.col("t.t2")}).drop("t")
     out = out.withColumn("in1", F.length("r1.seq")).withColumn("in2", F.length("r2.seq"))
     return out.withColumn("r1", trim_read(F.col("r1"), F.col("t1"), c)).withColumn("r2", trim_read(F.col("r2"), F.col("t2"), c))

@@ -237,7 +237,7 @@ def _oracle_match() -> str:
 
 @query(_oracle_match)
 def adapter_match(spark, sf):
-    r = reads(spark, sf).withColumn("m", trim.match_udf(ILLUMINA, 0.1, 1)(seq())).filter("m IS NOT NULL")
+    r = trim.once(reads(spark, sf), m=trim.match_udf(ILLUMINA, 0.1, 1)(seq())).filter("m IS NOT NULL")
     return r.select("rec_idx", *[_long(f"m.{c}", c) for c in ("read_start", "read_end", "overlap", "errors")])
 
 
@@ -303,7 +303,7 @@ def report_histogram_expect(spark, sf):
 @query(_oracle_cut([ILLUMINA], "rec_idx, CASE WHEN adapter_idx IS NULL THEN 'untrimmed' WHEN length(seq) < 20 THEN 'too_short' ELSE 'pass' END AS verdict"))
 def discard_untrimmed(spark, sf):
     c = replace(CONFIG, discard_untrimmed=True)
-    return trim.trim_single(reads(spark, sf), c).select("rec_idx", filters.single_verdict(F.col("r.seq"), stats.had_adapter(F.col("t")), c).alias("verdict"))
+    return filters.judge(trim.trim_single(reads(spark, sf), c), c).select("rec_idx", "verdict")
 
 
 # ------------------------------------------------------------------ detection: rec_idx numbers the scan, as in a file
@@ -362,8 +362,7 @@ PAIRED = replace(CONFIG, paired=True, max_n=4, max_length=62, retain_unpaired=Tr
 
 def _judged(spark: SparkSession, sf: str, c: TrimConfig = PAIRED, pt: bool = False) -> DataFrame:
     t = trim.trim_pairs(_pairs(spark, sf, pt).drop("fault"), c)
-    v = filters.pair_verdict(F.col("r1.seq"), F.col("r2.seq"), stats.had_adapter(F.col("t1")), stats.had_adapter(F.col("t2")), c)
-    return t.withColumn("v", v)
+    return filters.judge_pairs(t, c)
 
 
 def _sql_judged(s: Sql) -> str:
@@ -483,8 +482,7 @@ _STATS = [
 
 @query(_oracle_cut([ILLUMINA], ", ".join(_STATS)))
 def se_run_stats(spark, sf):
-    t = trim.trim_single(reads(spark, sf), CONFIG)
-    t = t.withColumn("verdict", filters.single_verdict(F.col("r.seq"), stats.had_adapter(F.col("t")), CONFIG))
+    t = filters.judge(trim.trim_single(reads(spark, sf), CONFIG), CONFIG)
     return stats.single_stats(t, CONFIG).select("total_reads", "reads_with_adapter", "bp_processed", "quality_bp", "bp_after_trim", "bp_written", "too_short", "reads_written")
 
 
@@ -504,8 +502,8 @@ def _oracle_length() -> str:
 @query(_oracle_length)
 def se_length_filter(spark, sf):
     c = replace(CONFIG, adapters=())
-    t = trim.trim_single(reads(spark, sf), c)
-    return t.filter(filters.single_verdict(F.col("r.seq"), F.lit(True), c) == filters.PASS).select("rec_idx", _long(F.length("r.seq"), "length"))
+    t = filters.judge(trim.trim_single(reads(spark, sf), c), c).filter(F.col("verdict") == filters.PASS)
+    return t.select("rec_idx", _long(F.length("r.seq"), "length"))
 
 
 FULL = replace(BOTH, times=1, poly_a=True, poly_g=True, trim_n=True, max_n=3, clip_r1=2, three_prime_clip_r1=1)
@@ -527,9 +525,8 @@ def _oracle_full() -> str:
 
 @query(_oracle_full)
 def se_full(spark, sf):
-    t = trim.trim_single(reads(spark, sf), FULL)
-    keep = filters.single_verdict(F.col("r.seq"), stats.had_adapter(F.col("t")), FULL) == filters.PASS
-    return t.filter(keep).select("rec_idx", "r.id", "r.seq", "r.qual")
+    t = filters.judge(trim.trim_single(reads(spark, sf), FULL), FULL)
+    return t.filter(F.col("verdict") == filters.PASS).select("rec_idx", "r.id", "r.seq", "r.qual")
 
 
 # ------------------------------------------------------------------ modes

@@ -87,9 +87,7 @@ def single(spark: SparkSession, o: Options, path: str) -> Outcome:
     c, note = detect.resolve(o, reads)
     clumped = o.clumpify and clump_layout(parse_memory(o.memory), o.cores).fits
     source = modes.clump(reads, clump_layout(parse_memory(o.memory), o.cores).n_bins) if clumped else reads
-    t = trim_single(source, c)
-    t = t.withColumn("verdict", filters.single_verdict(F.col("r.seq"), stats.had_adapter(F.col("t")), c))
-    t = t.persist()
+    t = filters.judge(trim_single(source, c), c).persist()
     try:
         s = stats.single_stats(t, c).first().asDict()
         hist = _histogram(t, "t")
@@ -145,7 +143,7 @@ def paired(spark: SparkSession, o: Options, r1: str, r2: str | None) -> Outcome:
     layout = clump_layout(parse_memory(o.memory), o.cores)
     clumped = o.clumpify and layout.fits
     t = trim_pairs(modes.clump(joined, layout.n_bins, "r1.seq") if clumped else joined, c)
-    t = t.withColumn("v", filters.pair_verdict(F.col("r1.seq"), F.col("r2.seq"), stats.had_adapter(F.col("t1")), stats.had_adapter(F.col("t2")), c)).persist()
+    t = filters.judge_pairs(t, c).persist()
     try:
         sides = [stats.side_stats(t, c, n).first().asDict() for n in (1, 2)]
         p = stats.pair_stats(t).first().asDict()

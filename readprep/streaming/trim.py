@@ -22,8 +22,7 @@ def read_stream(spark: SparkSession, folder: str, kind: str = "parquet") -> Data
 
 def trim_stream(reads: DataFrame, c: TrimConfig) -> DataFrame:
     """Trimmed reads with their verdict; works alike on batches and streams."""
-    t = trim_single(reads, c)
-    return t.withColumn("verdict", filters.single_verdict(F.col("r.seq"), stats.had_adapter(F.col("t")), c))
+    return filters.judge(trim_single(reads, c), c)
 
 
 def stats_stream(trimmed: DataFrame, c: TrimConfig) -> DataFrame:
