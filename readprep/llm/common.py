@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 WORD = r"[^\x20\x09-\x0D]+"
+PARTS = 1024  # salted parts of a key whose rows are numbered; fixed, so that numbers don't depend on the session
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize, part_of, ranked, shuffle_parts, table
+from .common import PARTS, WORD, materialize, part_of, ranked, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
@@ -91,8 +91,8 @@ def mix(docs: DataFrame, row: Column | None = None, weights: tuple[float, ...] =
     spark = docs.sparkSession
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
     row = F.struct("doc_id", "source") if row is None else row
-    rows = docs.select(row.alias("_row"), size_of(F.col("text")).alias("size"), key.alias("_key"), F.coalesce("doc_id", F.lit(-1)).alias("_order"))
-    rows = rows.withColumn("_part", part_of(F.col("_order"), shuffle_parts(docs)))
+    rows = docs.select(row.alias("_row"), size_of(F.col("text")).alias("size"), key.alias("_key"), F.coalesce("doc_id", F.lit(-1)).alias("_order"), F.xxhash64("text").alias("_tie"))
+    rows = rows.withColumn("_part", part_of(F.col("_order"), PARTS))
     parts = materialize(rows.groupBy("_key", "size", "_part").agg(F.count(F.lit(1)).alias("_n")), "mix-parts")
     cells = materialize(parts.groupBy("_key", "size").agg(F.sum("_n").alias("_n")), "mix-cells")
     state = solve(cells, targets(spark, cells, weights, cap), cap)
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, row: Column | None = None, weights: tuple[float, ...] =
     cell = cell.withColumn("_at", F.when(F.col("_extra") > 0, F.col("_n") - 1).when(F.col("_extra") < 0, F.lit(0)).otherwise(-1))
     cell = cell.select("_key", "size", "source_size", "target", "_whole", "_k", "_extra", "_at")
     plan = materialize(parts.join(cell, ["_key", "size"]), "mix-plan")
-    out = ranked(rows, ["_key", "size"], ["_order"], "_rank", plan)
+    out = ranked(rows, ["_key", "size"], ["_order", "_tie"], "_rank", plan)
     extra = F.when(F.col("_rank") == F.col("_at"), F.col("_extra")).otherwise(0).cast("long")
     copies = (F.col("_whole") + F.when(F.col("_rank") < F.col("_k"), 1).otherwise(0)).cast("long")
     return out.select("_row", "size", "source_size", "target", copies.alias("copies"), extra.alias("extra"), (copies * F.col("size") + extra).cast("long").alias("taken"))

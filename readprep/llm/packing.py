@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, materialize, part_of, ranked, shuffle_parts, table
+from .common import PARTS, batches_of, materialize, part_of, ranked, table
 
 WINDOW = 4096
 END = 2
@@ -171,8 +171,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END,
     table gives no rows. Every id of every text lies in exactly one piece; the pieces of a sequence leave no gap.
     `with_ids` adds each piece's ids as little-endian unsigned 32-bit numbers.
     """
-    parts_n = shuffle_parts(docs)
-    cut = materialize(pieces(docs, vocabulary, window, end, with_ids).withColumn("_part", part_of(F.coalesce("doc_id", F.lit(-1)), parts_n)), "pack-pieces")
+    cut = materialize(pieces(docs, vocabulary, window, end, with_ids).withColumn("_part", part_of(F.coalesce("doc_id", F.lit(-1)), PARTS)), "pack-pieces")
     parts = materialize(cut.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n")), "pack-lengths")
     counts = {int(r[0]): int(r[1]) for r in parts.groupBy("length").agg(F.sum("_n")).collect()}  # at most `window` rows
     plan = sorted(best_fit_decreasing(counts, window), key=lambda x: (x[0], x[1]))

@@ -98,15 +98,16 @@ class Space:
     """Arrays in memory, or in files of a temporary folder when together they would take more than `memory` bytes."""
 
     def __init__(self, memory: int):
-        self.left, self.folder = memory, None
+        self.left, self.folder, self.files = memory, None, 0
 
     def new(self, n: int, kind: type) -> np.ndarray:
         size = n * np.dtype(kind).itemsize
-        if size <= self.left:
+        if size <= self.left or not size:
             self.left -= size
             return np.empty(n, kind)
         self.folder = self.folder or tempfile.TemporaryDirectory(prefix="suffixes-")
-        return np.lib.format.open_memmap(tempfile.mktemp(dir=self.folder.name), "w+", kind, (n,)) if n else np.empty(0, kind)
+        self.files += 1
+        return np.memmap(f"{self.folder.name}/{self.files}", kind, "w+", shape=(n,))
 
     def close(self) -> None:
         if self.folder:
@@ -363,11 +364,13 @@ def _hot(dealt: DataFrame, length: int) -> DataFrame:
     place by an aggregate that is combined before the shuffle; all other places are repeats."""
 
     def strings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for order, start, piece in zip(*[batch.column(c).to_pylist() for c in ("ord", "start", "bytes")], strict=True):
-                n = len(piece) - length + 1
-                marks = [hashlib.blake2b(piece[i : i + length], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([order] * n, pa.int64()), pa.array([start] * n, pa.int64()), pa.array(range(start, start + n), pa.int64()), pa.array(marks, pa.binary())], names=["ord", "segment", "at", "mark"])
+        for batch in batches_of(it, 256 << 10, "bytes"):
+            pieces = batch.column("bytes").to_pylist()
+            n = np.array([len(p) - length + 1 for p in pieces])
+            marks = [hashlib.blake2b(p[i : i + length], digest_size=16).digest() for p in pieces for i in range(len(p) - length + 1)]
+            order, start = (np.repeat(np.asarray(batch.column(c), np.int64), n) for c in ("ord", "start"))
+            at = start + np.arange(len(marks)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(start), pa.array(at), pa.array(marks, pa.binary())], names=["ord", "segment", "at", "mark"])
 
     each = dealt.select("ord", "start", "bytes").mapInArrow(strings, "ord long, segment long, at long, mark binary")
     first = each.groupBy(F.hex("mark").alias("mark")).agg(F.min(F.struct("ord", "at", "segment")).alias("x")).select("x.ord", F.col("x.segment").alias("start"), F.col("x.at").alias("at"))
