@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.exprs import trailing_poly_g
 from ..options import PRESETS, PROBED, SCAN_CAP, Adapters, Options, TrimConfig
 
+# Notes on what was detected.
+SUPPRESSED = "No auto-detected adapter sequence exceeded the user-specified 'already adapter-trimmed' limit of {limit} counts. Only quality trimming will be carried out."
+SUPPRESSED_NAME = "already trimmed (adapter trimming suppressed)"
+FOUND = "Using {name} adapter for trimming (count: {hits}). Second best hit was {second} (count: {second_hits})."
+NOT_FOUND = "No adapters detected in the first {scanned} reads. Defaulting to Illumina adapter."
+
 
 @dataclass(frozen=True)
 class Detection:
@@ -56,13 +62,10 @@ def detect(reads: DataFrame, consider_already_trimmed: int | None = None, cap: i
     best, second = order[0], order[1]
     counts, scanned = {PRESETS[p][0]: x[p] for p in PROBED}, x["reads_scanned"]
     if consider_already_trimmed is not None and x[best] <= consider_already_trimmed:
-        text = f"No auto-detected adapter sequence exceeded the user-specified 'already adapter-trimmed' limit of {consider_already_trimmed} counts. Only quality trimming will be carried out."
-        return Detection((("already trimmed (adapter trimming suppressed)", ""),), (), counts, scanned, x["poly_g"], True, text)
+        return Detection(((SUPPRESSED_NAME, ""),), (), counts, scanned, x["poly_g"], True, SUPPRESSED.format(limit=consider_already_trimmed))
     name, seq, other = PRESETS[best]
-    if x[best]:
-        text = f"Using {name} adapter for trimming (count: {x[best]}). Second best hit was {PRESETS[second][0]} (count: {x[second]})."
-    else:
-        text = f"No adapters detected in the first {scanned} reads. Defaulting to Illumina adapter."
+    found = FOUND.format(name=name, hits=x[best], second=PRESETS[second][0], second_hits=x[second])
+    text = found if x[best] else NOT_FOUND.format(scanned=scanned)
     return Detection(((name, seq),), (((f"{name}_r2", other),) if other else ()), counts, scanned, x["poly_g"], False, text)
 
 
