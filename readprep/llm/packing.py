@@ -46,10 +46,10 @@ class Encoder:
         model, split = spec["model"], next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.special = [t["content"] for t in spec["added_tokens"]]
         # the pattern's classes, spelt out over the letters of the fast way; upper case is gone by then
-        own = [chr(i) for i in range(0x250)]
+        own = [chr(i) for i in range(0x180)]
         of = lambda kind: "".join(c for c in own if unicodedata.category(c)[0] == kind)
         self.split = re.compile(split.replace("\\p{L}", of("L")).replace("\\p{N}", of("N")).replace("\\s", "\t-\r \x85\xa0"))
-        self.other = re.compile("[\x01\u0130\u0250-\U0010ffff]")
+        self.other = re.compile("[\x01\u0130\u0180-\U0010ffff]")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         back = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         end = model["end_of_word_suffix"]

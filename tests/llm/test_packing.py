@@ -22,7 +22,7 @@ def plain(texts):
 
 def test_encoder_equals_the_library(encoder, spark, small):
     texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
-    texts += ["", "  ", "İstanbul Σας", "a\x01b", "<|endoftext|> x", "it's we'll 'street !!'s don’t ½²3", "naïve œuvre\xa0x y", "é", "日本語", "\x85a\x1cb", "ß Ŀ ŉ ǆ", "x'S Y'LL", "ª º µ \xad"]
+    texts += ["", "  ", "İstanbul Σας", "a\x01b", "<|endoftext|> x", "it's we'll 'street !!'s don’t ½²3", "naïve œuvre\xa0x y", "é", "日本語", "\x85a\x1cb", "ß Ŀ ŉ ǆ", "x'S Y'LL", "ª º µ \xad", "Ɓa Ⱥb Ɔ ƀ ſ ÿŸ"]
     for t, ids in zip(texts, plain(texts), strict=True):
         assert encoder(t) == np.array(ids[:-1], "<u4").tobytes(), t[:80]
 
