@@ -66,28 +66,35 @@ def contexts(row: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.stack([(mix64(x * np.uint64(2 * k + 3) + np.uint64(k)) % np.uint64(ROWS)).astype(np.int32) for k, x in enumerate(keys)])
 
 
-def log_probabilities(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Natural log P(class | context), a row for each token."""
+def _logits(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
     z = weights[f[0]]
     for k in range(1, len(f)):
         z += weights[f[k]]
     z += bias
     z -= z.max(1, keepdims=True)
+    return z
+
+
+def log_probabilities(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Natural log P(class | context), a row for each token."""
+    z = _logits(weights, bias, f)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
 def descend(weights: np.ndarray, bias: np.ndarray, f: np.ndarray, cls: np.ndarray, squares: np.ndarray) -> None:
     """One minibatch of gradient steps, scaled by the root of each feature's squared gradients so far; in place."""
-    g = -np.exp(log_probabilities(weights, bias, f))
+    g = _logits(weights, bias, f)
+    np.exp(g, g)
+    g *= -1 / g.sum(1, keepdims=True)
     g[np.arange(len(cls)), cls] += 1
-    flat = np.concatenate(f)
+    flat = np.concatenate(f).astype(np.int16)  # sorted by digits
     order = np.argsort(flat, kind="stable")
     at = flat[order]
     cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     sums = np.add.reduceat(g[order % len(cls)], cut, 0)
     rows = at[cut]
-    squares[rows] += (sums * sums).mean(1)
+    squares[rows] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
     weights[rows] += RATE * sums / np.sqrt(squares[rows] + 1)[:, None]
 
 
