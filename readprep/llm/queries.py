@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_topk": topk.ORACLE,
     "op4_subspace": subspace.ORACLE,
+    "op7_suffix_dedup": suffix_dedup.ORACLE,
     "op9_minhash": minhash.ORACLE,
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

@@ -484,3 +484,20 @@ def deduplicated_documents(docs: DataFrame) -> DataFrame:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).withColumnRenamed("_row", "doc_id")
+
+
+ORACLE = """
+    WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+    p AS (SELECT doc_id, unnest(range(1, n - 98)) AS i FROM d WHERE n >= 100),
+    s AS (SELECT p.doc_id, p.i, array_slice(d.b, p.i, p.i + 99) AS s FROM p JOIN d USING (doc_id)),
+    r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM s) WHERE k > 1),
+    g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM r),
+    h AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+    c AS (SELECT doc_id, k, min(i) AS a, max(i) + 99 AS z FROM h GROUP BY doc_id, k),
+    e AS (SELECT doc_id, 0 AS k, 0 AS a, 0 AS z FROM d UNION ALL SELECT doc_id, k, a, z FROM c),
+    f AS (SELECT doc_id, z + 1 AS from_, lead(a) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS upto, a, z FROM e),
+    t AS (SELECT f.doc_id, string_agg(hex(array_slice(d.b, f.from_, coalesce(f.upto, d.n))), '' ORDER BY f.from_) AS kept,
+                 sum(CASE WHEN f.z > 0 THEN f.z - f.a + 1 ELSE 0 END) AS removed, count(*) - 1 AS spans
+          FROM f JOIN d ON d.doc_id = f.doc_id GROUP BY f.doc_id)
+    SELECT d.doc_id, d.n AS n_bytes, CAST(t.removed AS BIGINT) AS n_removed, CAST(t.spans AS BIGINT) AS n_spans, sha256(unhex(coalesce(t.kept, ''))) AS kept_sha256
+    FROM d JOIN t ON t.doc_id = d.doc_id"""

@@ -268,6 +268,11 @@ def test_dedup_query(spark, small):
         assert (got[d]["n_removed"], got[d]["n_spans"], got[d]["kept_sha256"]) == (removed, spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_dedup_query_equals_sql(spark, small, duck):
+    got = suffix_dedup.op7(spark, small)
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r.values()) for r in duck.sql(suffix_dedup.ORACLE).to_arrow_table().select(got.columns).to_pylist())
+
+
 def test_dedup_odd(odd, none):
     out = suffix_dedup.deduplicated_documents(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
