@@ -70,7 +70,7 @@ def test_stages_take_odd_documents(spark, odd, none, tmp_path):
 
 def test_run_and_registration(spark, small):
     assert P.run(spark, small).agg(F.sum("length")).first()[0] > 0
-    assert entry.queries()["pipeline"] is P.run and [n for n, _ in P.STAGES][0] == "quality_classifier"
+    assert entry.queries()["pipeline"].__wrapped__ is P.run and [n for n, _ in P.STAGES][0] == "quality_classifier"
     assert {f"op{n}" for n in range(1, 11)} <= {q.partition("_")[0] for q in entry.queries()}
 
 
