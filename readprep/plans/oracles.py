@@ -23,7 +23,8 @@ class Sql:
         return "WITH RECURSIVE " + ",\n".join(self.parts) + "\n" + body
 
     def reads(self, salt: str = "r1", where: str = "") -> str:
-        return self.add(reads_sql("orders", salt) + (f" WHERE {where}" if where else ""))
+        own = reads_sql("orders", salt)
+        return self.add(f"SELECT * FROM ({own}) x WHERE {where}" if where else own)
 
     def quality(self, src: str, cutoff: int = 20, two_colour: bool = False) -> str:
         """src with keep."""

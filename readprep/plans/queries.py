@@ -13,8 +13,8 @@ from ..functions import exprs as E
 from ..operators import detect, filters, modes, pairs, stats, trim
 from ..options import PRESETS, TrimConfig
 from ..synth import reads
+from . import qc
 from .oracles import Sql, big, n_count
-from .qc import per_position
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -431,13 +431,19 @@ def passthrough_lockstep(spark, sf):
     return j.select("rec_idx", "pt.id", "pt.seq", "pt.qual")
 
 
+@query(_oracle_passthrough)
+def passthrough_semi_join(spark, sf):
+    kept = _judged(spark, sf, replace(PAIRED, retain_unpaired=False)).filter("v.verdict = 'pass'")
+    return pairs.kept_passthrough(reads(spark, sf, "r3"), kept).select("rec_idx", "id", "seq", "qual")
+
+
 @query(lambda: (s := Sql()).select(f"SELECT p.rec_idx, p.id FROM {s.reads('r3')} p WHERE p.rec_idx IN (SELECT rec_idx FROM {_sql_judged(s)} WHERE verdict <> 'pass')"))
 def pairs_removed(spark, sf):
     j = _judged(spark, sf)
     return pairs.removed_pairs(reads(spark, sf, "r3"), j.filter("v.verdict = 'pass'")).select("rec_idx", "id")
 
 
-_DROP = "rec_idx % 97 <> 5"
+_DROP = "seq NOT LIKE 'CAG%'"  # mates that a sequencer lost
 
 
 def _oracle_faults() -> str:
@@ -548,6 +554,18 @@ def clock_umi(spark, sf):
     return modes.clock_umi(_long_pairs(spark, sf)).select("rec_idx", F.col("r1.id").alias("id1"), F.col("r1.seq").alias("seq1"), F.col("r2.seq").alias("seq2"), "with_fixed")
 
 
+def _oracle_clock_summary() -> str:
+    s = Sql()
+    j = s.add(f"SELECT substr(a.seq, 9, 4) = 'CAGT' AND substr(b.seq, 9, 4) = 'CAGT' AS f FROM {s.reads('r1')} a JOIN {s.reads('r2')} b USING (rec_idx) WHERE length(a.seq) >= 15 AND length(b.seq) >= 15")
+    return s.select(f"SELECT {counted('pairs')}, {counted('with_fixed', 'f')}, {counted('without_fixed', 'NOT f')}, round(100.0 * count(*) FILTER (f) / greatest(count(*), 1), 6) AS percent_with FROM {j}")
+
+
+@query(_oracle_clock_summary)
+def clock_summary(spark, sf):
+    out = modes.clock_summary(modes.clock_umi(_long_pairs(spark, sf)))
+    return out.withColumn("percent_with", F.round("percent_with", 6))
+
+
 def _oracle_implicon() -> str:
     s = Sql()
     j = s.add(f"SELECT a.rec_idx, a.id AS id1, b.id AS id2, a.seq AS s1, b.seq AS s2 FROM {s.reads('r1')} a JOIN {s.reads('r2')} b USING (rec_idx) WHERE length(a.seq) >= 15 AND length(b.seq) >= 15")
@@ -630,4 +648,22 @@ def _oracle_qc() -> str:
 
 @query(_oracle_qc)
 def qc_per_position(spark, sf):
-    return per_position(reads(spark, sf))
+    return qc.per_position(reads(spark, sf))
+
+
+@query(_plain(f"CAST(length(seq) AS INTEGER) AS length, {counted('reads')}", "GROUP BY length(seq)"))
+def qc_lengths(spark, sf):
+    return qc.lengths(reads(spark, sf))
+
+
+_GC = "CAST(round((length(seq) - length(translate(seq, 'GC', ''))) * 100.0 / length(seq)) AS INTEGER)"
+
+
+@query(_plain(f"{_GC} AS percent, {counted('reads')}", f"WHERE length(seq) > 0 GROUP BY {_GC}"))
+def qc_gc_content(spark, sf):
+    return qc.gc_content(reads(spark, sf))
+
+
+@query(lambda: (s := Sql()).select(f"SELECT copies, {counted('sequences')} FROM (SELECT count(*) AS copies FROM {s.reads()} GROUP BY seq) x GROUP BY copies"))
+def qc_duplication(spark, sf):
+    return qc.duplication(reads(spark, sf))

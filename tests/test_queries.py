@@ -48,6 +48,16 @@ def test_stream_equals_batch(spark, small, tmp_path):
     assert spark.table("counters").first() == S.stats_stream(S.trim_stream(reads(spark, small), c), c).first()
 
 
+def test_pair_stream_equals_batch(spark, small, tmp_path):
+    for n in (1, 2):
+        reads(spark, small, f"r{n}").withColumn("ts", F.timestamp_seconds(F.col("rec_idx") % 60 + 1_700_000_000)).repartition(2).write.parquet(str(tmp_path / str(n)))
+    sides = [spark.readStream.schema(spark.read.parquet(str(tmp_path / str(n))).schema).parquet(str(tmp_path / str(n))) for n in (1, 2)]
+    q = S.pair_stream(*sides).writeStream.format("memory").queryName("pairs").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    want = reads(spark, small).select("rec_idx", F.col("seq").alias("a")).join(reads(spark, small, "r2").select("rec_idx", F.col("seq").alias("b")), "rec_idx")
+    assert sorted(map(tuple, spark.table("pairs").select("rec_idx", "r1.seq", F.col("r2.seq").alias("b")).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_qc(spark, small):
     r = reads(spark, small)
     assert qc.lengths(r).agg(F.sum("reads")).first()[0] == r.count()
