@@ -55,7 +55,22 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def segments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def segments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, most: int = 8 << 20) -> tuple[np.ndarray, ...]:
+    """As _segments, for `most` bytes at a time: a long text is cut where a string starts, and its pieces overlap."""
+    if len(raw) <= most:
+        return _segments(raw, offsets, length)
+    out = []
+    for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        for at in range(a, b - length + 1, most):
+            piece = raw[at : min(at + most + length - 1, b)]
+            _, start, end, m, multi = _segments(piece, np.array([0, len(piece)]), length)
+            out.append((np.full(len(start), row), start + at, end + at, m, multi))
+    if not out:
+        return _segments(raw[:0], np.zeros(1, np.int64), length)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(row, start, end, minimizer, multi): strings that start in [start, end) share a minimizer; starts are places in
     `raw`. multi: the minimizer's gram occurs more than once in the segment, so it may hold repeats of its own."""
     w, g = length - GRAM + 1, grams(raw, offsets)

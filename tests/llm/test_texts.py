@@ -234,6 +234,17 @@ def test_files_hold_large_shards():
     space.close()
 
 
+def test_long_texts_are_cut_into_the_same_strings():
+    texts = [t.encode() for t in corpus(12)] + [b"", b"x" * 700]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+    def places(**k):
+        row, start, end, m, _ = suffix_dedup.segments(raw, offsets, **k)
+        return {(r, i, v) for r, a, b, v in zip(row.tolist(), start.tolist(), end.tolist(), m.tolist(), strict=True) for i in range(a, b)}
+
+    assert places() == places(most=150) == places(most=1000) and len(places()) == sum(max(len(t) - 99, 0) for t in texts)
+
+
 def corpus(n=40):
     rng = random.Random(5)
     base = [sentence(i, rng.randint(5, 60)).encode() for i in range(12)] + [b"ab" * 200, b"x" * 300, "é日".encode() * 60]
