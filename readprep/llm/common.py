@@ -65,12 +65,13 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column | str], out: str,
 
     `df` has a column _part that deals a key's rows to salted parts; `parts` has (*keys, _part, _n, ...): the rows of
     each. Rows are numbered within their part by `order` and shifted by the rows of the key's earlier parts. Further
-    columns of `parts` are joined to the rows. Keys must not be null. One shuffle of `df`.
+    columns of `parts` are joined to the rows. Keys must not be null. One shuffle of `df`; `parts` grows with it and is
+    never broadcast, however well its file compresses.
     """
     w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.withColumn("_base", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
     local = df.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1)
-    return local.join(base, [*keys, "_part"]).withColumn(out, (F.col("_base") + F.col("_local")).cast("long")).drop("_part", "_base", "_local")
+    return local.join(base.hint("merge"), [*keys, "_part"]).withColumn(out, (F.col("_base") + F.col("_local")).cast("long")).drop("_part", "_base", "_local")
 
 
 # ------------------------------------------------------------------ words of an Arrow column of texts

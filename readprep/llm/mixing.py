@@ -115,7 +115,7 @@ def mix(docs: DataFrame, row: Column | None = None, weights: tuple[float, ...] =
     cell = cell.withColumn("_extra", F.when(at, most).otherwise(0))
     cell = cell.withColumn("_at", F.when(F.col("_extra") > 0, F.col("_n") - 1).when(F.col("_extra") < 0, F.lit(0)).otherwise(-1))
     cell = cell.select("_key", "size", "source_size", "target", "_whole", "_k", "_extra", "_at")
-    plan = materialize(parts.join(cell, ["_key", "size"]), "mix-plan")
+    plan = materialize(parts.join(cell.hint("merge"), ["_key", "size"]), "mix-plan")
     out = ranked(rows, ["_key", "size"], ["_order", "_tie"], "_rank", plan)
     extra = F.when(F.col("_rank") == F.col("_at"), F.col("_extra")).otherwise(0).cast("long")
     copies = (F.col("_whole") + F.when(F.col("_rank") < F.col("_k"), 1).otherwise(0)).cast("long")
