@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import batches_of, materialize, mix64, shuffle_parts, table, text_bytes, words_of
 from .quality import remainder
 
-CLASSES = 32
+CLASSES = 64
 ROWS = 1 << 14
 ROUNDS = 2
 BATCH = 8192
