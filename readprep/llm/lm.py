@@ -27,7 +27,7 @@ from .quality import remainder
 CLASSES = 64
 ROWS = 1 << 14
 ROUNDS = 2
-BATCH = 8192
+BATCH = 2048
 RATE = 0.15
 FREQUENT = 1 << 21
 SCALE = float(1 << 20)
@@ -88,14 +88,13 @@ def descend(weights: np.ndarray, bias: np.ndarray, f: np.ndarray, cls: np.ndarra
     np.exp(g, g)
     g *= -1 / g.sum(1, keepdims=True)
     g[np.arange(len(cls)), cls] += 1
-    flat = np.concatenate(f).astype(np.int16)  # sorted by digits
-    order = np.argsort(flat, kind="stable")
-    at = flat[order]
-    cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    sums = np.add.reduceat(g[order % len(cls)], cut, 0)
-    rows = at[cut]
-    squares[rows] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
-    weights[rows] += RATE * sums / np.sqrt(squares[rows] + 1)[:, None]
+    for own in f:
+        order = np.argsort(own.astype(np.int16), kind="stable")  # sorted by digits
+        at = own[order]
+        cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        sums, rows = np.add.reduceat(g[order], cut, 0), at[cut]
+        squares[rows] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
+        weights[rows] += RATE * sums / np.sqrt(squares[rows] + 1)[:, None]
 
 
 def _count(docs: DataFrame, tag: str) -> DataFrame:
@@ -193,8 +192,8 @@ def score(docs: DataFrame, folds: int = 5, out_fold: int = 1, tag: str = "lm") -
             row, ids = tokens(batch.column("text"))
             n, f, cls = batch.num_rows, contexts(row, ids), (ids & _MASK).astype(np.int64)
             model = np.zeros(n)
-            for at in range(0, len(ids), BATCH * 2):
-                p = slice(at, at + BATCH * 2)
+            for at in range(0, len(ids), BATCH):
+                p = slice(at, at + BATCH)
                 lp = log_probabilities(weights, bias, f[:, p])
                 model += np.bincount(row[p], lp[np.arange(len(lp)), cls[p]].astype(np.float64) / np.log(10) - inside[cls[p]], n)
             if len(known):
