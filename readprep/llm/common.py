@@ -135,7 +135,7 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, end, row, mix64(h ^ (end - start).astype(np.uint64) * _M3)
 
 
-def batches_of(it, most_bytes: int = 8 << 20, column: str = "text"):
+def batches_of(it, most_bytes: int = 2 << 20, column: str = "text"):
     """Arrow batches, cut further so that one holds little more than `most_bytes` of the text column or one row."""
     for batch in it:
         n, size = batch.num_rows, batch.column(column).nbytes

@@ -29,7 +29,7 @@ from .common import batches_of, materialize, mix64, shuffle_parts, table, text_b
 
 LENGTH = 100
 GRAM = 24
-SHARD = 6 << 20
+SHARD = 3 << 20
 MEMORY = 96 << 20
 HOT = 20_000
 _NONE = np.uint64(np.iinfo(np.uint64).max)
@@ -407,7 +407,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY, hot: int
     base = base.withColumn("h", F.xxhash64("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
 
     def minimizers(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(it, 4 << 20):
+        for batch in batches_of(it):
             row_, _, _, m, multi = segments(*text_bytes(batch.column("text")), length)
             by = np.lexsort((m, row_))
             row_, m, multi = row_[by], m[by], multi[by]
