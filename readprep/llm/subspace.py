@@ -89,9 +89,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tag: str =
     no other id. Empty tables give no rows.
     """
     e = F.col("embedding")
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"  # shuffled as it comes
     whole = valid(e) & F.coalesce(F.exists(e, lambda x: x != 0), F.lit(False)) & F.col("label").isNotNull()
     key = F.when(whole, F.xxhash64(F.lit("class"), "label", e))
-    rows = vectors.select("vec_id", key.alias("class"), F.when(whole, F.xxhash64(e, "label")).alias("class2"), e.cast("array<double>").alias("v"), "label")
+    rows = vectors.select("vec_id", key.alias("class"), F.when(whole, F.xxhash64(e, "label")).alias("class2"), e.cast(kind).alias("v"), "label")
     cls = rows.filter(F.col("class").isNotNull()).groupBy("class", "class2").agg(F.first("v").alias("v"), F.first("label").alias("label"), F.count(F.lit(1)).alias("size"))
     cls = materialize(cls, f"{tag}-classes")
 
@@ -115,7 +116,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tag: str =
 
     label_type = dict(vectors.dtypes)["label"]
     slim = cls.select("class", "size", "label", F.col("v"))
-    dealt = slim.mapInArrow(cells, f"class long, size long, label {label_type}, v array<double>, dim int, block int, cell long, home boolean")
+    dealt = slim.mapInArrow(cells, f"class long, size long, label {label_type}, v {kind}, dim int, block int, cell long, home boolean")
     where = ["label", "dim", "block", "cell"]
     # a cell of many rows is dealt out in chunks, every two chunks meet in a task of their own
     many = dealt.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"), F.max("home").alias("_any"))
