@@ -32,6 +32,7 @@ RATE = 0.15
 FREQUENT = 1 << 21
 SCALE = float(1 << 20)
 BLOCK_ROWS = 512
+FAN = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -143,19 +144,24 @@ def train(docs: DataFrame, bias: np.ndarray, rounds: int = ROUNDS) -> np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blocks, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "step", "met"])
 
         def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list[np.ndarray]] = {}
+            sums: dict[tuple[int, int], list[np.ndarray]] = {}
             for batch in it:
-                for b, step, met in zip(*[batch.column(c).to_pylist() for c in ("block", "step", "met")], strict=True):
+                for b, salt, step, met in zip(*[batch.column(c).to_pylist() for c in ("block", "salt", "step", "met")], strict=True):
                     new = [np.frombuffer(step, np.int64), np.frombuffer(met, np.int64)]
-                    sums[b] = [x + y for x, y in zip(sums[b], new, strict=True)] if b in sums else new
-            cols = [pa.array(list(sums), pa.int32()), *[pa.array([x[i].tobytes() for x in sums.values()], pa.binary()) for i in (0, 1)]]
+                    key = (b, salt)
+                    sums[key] = [x + y for x, y in zip(sums[key], new, strict=True)] if key in sums else new
+            cols = [pa.array([b for b, _ in sums], pa.int32()), *[pa.array([x[i].tobytes() for x in sums.values()], pa.binary()) for i in (0, 1)]]
             yield pa.RecordBatch.from_arrays(cols, names=["block", "step", "met"])
 
         kind = "block int, step binary, met binary"
         mine = docs.filter(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(rounds)) == k)
-        summed = mine.select("text").mapInArrow(steps, kind).repartition(min(shuffle_parts(docs), ROWS // BLOCK_ROWS), "block").mapInArrow(add, kind)
+        summed, left, blocks = mine.select("text").mapInArrow(steps, kind), mine.rdd.getNumPartitions(), ROWS // BLOCK_ROWS
+        while left > 1:  # a tree: a task adds about FAN steps of a block, however many tasks took some
+            left = -(-left // FAN)
+            salted = summed.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(left)))
+            summed = salted.repartition(min(blocks * left, max(blocks, shuffle_parts(docs))), "block", "salt").mapInArrow(add, kind)
         weights = weights.copy()
-        for r in summed.toLocalIterator():  # ROWS x CLASSES numbers in all
+        for r in summed.collect():  # ROWS x CLASSES numbers in all
             met = np.frombuffer(r["met"], np.int64)
             step = np.frombuffer(r["step"], np.int64).reshape(-1, CLASSES)
             weights[r["block"] : r["block"] + BLOCK_ROWS] += (step / SCALE / np.maximum(met, 1)[:, None]).astype(np.float32)
