@@ -447,6 +447,16 @@ def test_steps_raise_the_likelihood():
     assert like() > before / 2
 
 
+def test_sums_do_not_depend_on_the_tree(spark):
+    docs = spark.createDataFrame([(i, sentence(i, 30)) for i in range(40)], "doc_id long, text string").repartition(10, "doc_id")
+    bias, out = np.zeros(lm.CLASSES, np.float32), []
+    for fan in (64, 3):
+        lm.FAN = fan
+        out.append(lm.train(docs, bias, 1))
+    lm.FAN = 64
+    assert np.array_equal(*out) and out[0].any()
+
+
 def test_lm_odd(odd, none):
     got = lm.score(odd).collect()
     assert len(got) == odd.count() and all(r["score"] is not None and np.isfinite(r["score"]) and r["n_tokens"] >= 1 for r in got)
