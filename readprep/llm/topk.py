@@ -113,7 +113,11 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, c: np.ndar
                 x = q_unit[i, f]
                 away = np.sqrt(max(0.0, 1 - t * t)) * np.sqrt(max(0.0, 1 - x * x))
                 y = c_unit[part, f]
-                ok &= (y >= t * x - away - 1e-9) & (y <= t * x + away + 1e-9)
+                # a cone of cosine t around the query reaches the axis itself where |x| > t
+                if -x <= t:
+                    ok &= y >= t * x - away - 1e-9
+                if x <= t:
+                    ok &= y <= t * x + away + 1e-9
             if ok.any():
                 at_c = np.flatnonzero(ok) + at
                 s = _scores(q[i : i + 1], c[at_c])[0]

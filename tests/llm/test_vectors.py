@@ -42,6 +42,26 @@ def test_pruning_prunes_and_stays_exact():
     assert [g for g in got] == sorted(x for i in range(40) for x in [w for w in want if w[0] == i][:10])
 
 
+@pytest.mark.parametrize("sign", [1, -1])
+def test_coordinates_prune_nothing_that_counts(sign):
+    """Vectors along one axis, so that a query's largest coordinate exceeds its local threshold."""
+    rng = np.random.default_rng(6)
+    c = rng.standard_normal((1500, 6)) * 8
+    c[:, 2] = sign * rng.choice([100, 97, 90, 60], 1500)
+    c[::7] = 0
+    c[::7, 2] = sign * 100
+    c = np.floor(c)
+    c = c[np.argsort(-(c * c).sum(1), kind="stable")]
+    q = np.floor(np.concatenate((c[:30], c[700:730], rng.standard_normal((20, 6)) * 50)))
+    s = (q @ c.T).astype(np.int64)
+    for share in (0.75, 0.9, 0.95):
+        bound = np.maximum(share * np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max(), 1).astype(np.int64)
+        row, ids, score, seen = T.search_block(q, np.full(len(q), -1), bound.copy(), c, np.arange(1500), 1500)
+        want = [(i, s[i, j], j) for i in range(len(q)) for j in range(1500) if s[i, j] >= bound[i]]
+        assert sorted(zip(row.tolist(), score.tolist(), ids.tolist(), strict=True)) == sorted(want) and want
+        assert seen["verified"] < seen["pairs"]
+
+
 def test_top_k_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (20, [3.0, 1.0]), (40, None), (60, [1.0, None]), (1, [float("nan"), 1.0]), (2, [float("inf"), 1.0]), (3, []), (None, [9.0, 9.0]), (4, [5.0]), (5, [1.0, 1.0]), (5, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "id long, v array<double>")
