@@ -290,16 +290,16 @@ def runs(places: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
 
 
 def _deal(texts: DataFrame, length: int) -> DataFrame:
-    """Segments whose minimizer is in `wanted`: (kind 0, minimizer, ord, start, bytes), the first in its task of equal
-    ones; or (kind 1, ord, start, stop): bytes of a segment that an earlier one in the task equals."""
+    """Segments whose minimizer is in `wanted`: (kind 0, minimizer, ord, h, start, bytes), the first in its task of
+    equal ones; or (kind 1, ord, h, start, stop): bytes of a segment that an earlier one in the task equals."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        known: dict[bytes, tuple[int, int]] = {}
+        known: dict[bytes, tuple[int, int, int]] = {}
         salt = lambda row: mix64(row.astype(np.uint64) + np.uint64(1))
         for batch in batches_of(it, 1 << 20, "z"):
             out: list[tuple] = []
-            order = batch.column("ord").to_pylist()
+            order, hashes = batch.column("ord").to_pylist(), batch.column("h").to_pylist()
             texts = [unpack.decompress(z) for z in batch.column("z").to_pylist()]
             data, offsets = b"".join(texts), np.cumsum(np.r_[0, [len(x) for x in texts]])
             row, start, end, m, _ = segments(np.frombuffer(data, np.uint8), offsets, length)
@@ -312,35 +312,35 @@ def _deal(texts: DataFrame, length: int) -> DataFrame:
             for r, s, e, v, at in zip(row.tolist(), start.tolist(), end.tolist(), m.tolist(), place.tolist(), strict=True):
                 piece = data[s:e]
                 mark = hashlib.blake2b(piece, digest_size=16).digest()
-                here = (order[r], at)
+                here = (order[r], hashes[r], at)
                 if (seen := known.get(mark)) is not None and seen < here:
-                    out.append((1, None, order[r], at, at + e - s, None))
+                    out.append((1, None, *here, at + e - s, None))
                 else:  # an earlier one: what was sent before it is found to repeat it in the shard
                     if len(known) < 400_000 or seen is not None:
                         known[mark] = here
-                    out.append((0, v, order[r], at, at + e - s, piece))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "minimizer", "ord", "start", "stop", "bytes"])
+                    out.append((0, v, *here, at + e - s, piece))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "minimizer", "ord", "h", "start", "stop", "bytes"])
 
-    return texts.mapInArrow(run, "kind byte, minimizer long, ord long, start long, stop long, bytes binary")
+    return texts.mapInArrow(run, "kind byte, minimizer long, ord long, h long, start long, stop long, bytes binary")
 
 
 def _shards(dealt: DataFrame, length: int, memory: int) -> DataFrame:
-    """(ord, start, stop) of repeats among the segments; a task builds suffix arrays of whole minimizers in turn."""
+    """(ord, h, start, stop) of repeats among the segments; a task builds suffix arrays of whole minimizers in turn."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            order, start, stop = (np.asarray(t.column(c)) for c in ("ord", "start", "stop"))
-            by = np.lexsort((start, order))
-            order, start, stop = order[by], start[by], stop[by]
+            order, h, start, stop = (np.asarray(t.column(c)) for c in ("ord", "h", "start", "stop"))
+            by = np.lexsort((start, h, order))
+            order, h, start, stop = order[by], h[by], start[by], stop[by]
             joined = t.column("bytes").combine_chunks().take(pa.array(by))
             code = np.asarray(joined.dictionary_encode().indices)
             first = np.diff(np.maximum.accumulate(code), prepend=-1) > 0  # codes are numbered as they come
             again = ~first  # equal to an earlier segment as a whole
-            whole = [order[again], start[again], stop[again]]
-            order, start, stop = order[first], start[first], stop[first]
+            whole = [order[again], h[again], start[again], stop[again]]
+            order, h, start, stop = order[first], h[first], start[first], stop[first]
             raw, offsets = text_bytes(joined.filter(pa.array(first)))
             space = Space(memory)
             found = repeats(raw, offsets[:-1], offsets[:-1] + (stop - start) - length + 1, length, space)
@@ -351,8 +351,8 @@ def _shards(dealt: DataFrame, length: int, memory: int) -> DataFrame:
             last = np.r_[new[1:], len(found)] - 1 if len(found) else new
             seg, a, b = k[new], found[new], found[last] + length
             shift = start[seg] - offsets[seg]
-            cols = [np.concatenate(x) for x in zip(whole, (order[seg], a + shift, b + shift), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["ord", "start", "stop"])
+            cols = [np.concatenate(x) for x in zip(whole, (order[seg], h[seg], a + shift, b + shift), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["ord", "h", "start", "stop"])
 
         held: list[pa.RecordBatch] = []
         size, last = 0, None
@@ -371,11 +371,11 @@ def _shards(dealt: DataFrame, length: int, memory: int) -> DataFrame:
             yield of(held)
 
     by = dealt.repartition(shuffle_parts(dealt), "minimizer").sortWithinPartitions("minimizer")
-    return by.select("minimizer", "ord", "start", "stop", "bytes").mapInArrow(run, "ord long, start long, stop long")
+    return by.select("minimizer", "ord", "h", "start", "stop", "bytes").mapInArrow(run, "ord long, h long, start long, stop long")
 
 
 def _hot(dealt: DataFrame, length: int) -> DataFrame:
-    """(ord, start, stop) of repeats among segments of very frequent minimizers: every string by its hash, its first
+    """(ord, h, start, stop) of repeats among segments of very frequent minimizers: every string by its hash, its first
     place by an aggregate that is combined before the shuffle; all other places are repeats."""
 
     def strings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,24 +383,24 @@ def _hot(dealt: DataFrame, length: int) -> DataFrame:
             pieces = batch.column("bytes").to_pylist()
             n = np.array([len(p) - length + 1 for p in pieces])
             marks = [hashlib.blake2b(p[i : i + length], digest_size=16).digest() for p in pieces for i in range(len(p) - length + 1)]
-            order, start = (np.repeat(np.asarray(batch.column(c), np.int64), n) for c in ("ord", "start"))
+            order, h, start = (np.repeat(np.asarray(batch.column(c), np.int64), n) for c in ("ord", "h", "start"))
             at = start + np.arange(len(marks)) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(start), pa.array(at), pa.array(marks, pa.binary())], names=["ord", "segment", "at", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(h), pa.array(start), pa.array(at), pa.array(marks, pa.binary())], names=["ord", "h", "segment", "at", "mark"])
 
-    each = dealt.select("ord", "start", "bytes").mapInArrow(strings, "ord long, segment long, at long, mark binary")
-    first = each.groupBy(F.hex("mark").alias("mark")).agg(F.min(F.struct("ord", "at", "segment")).alias("x")).select("x.ord", F.col("x.segment").alias("start"), F.col("x.at").alias("at"))
-    kept = first.groupBy("ord", "start").agg(F.collect_list("at").alias("kept"))
-    all_ = dealt.select("ord", "start", "stop").join(kept, ["ord", "start"], "left")
+    each = dealt.select("ord", "h", "start", "bytes").mapInArrow(strings, "ord long, h long, segment long, at long, mark binary")
+    first = each.groupBy(F.hex("mark").alias("mark")).agg(F.min(F.struct("ord", "h", "at", "segment")).alias("x")).select("x.ord", "x.h", F.col("x.segment").alias("start"), F.col("x.at").alias("at"))
+    kept = first.groupBy("ord", "h", "start").agg(F.collect_list("at").alias("kept"))
+    all_ = dealt.select("ord", "h", "start", "stop").join(kept, ["ord", "h", "start"], "left")
     places = F.array_except(F.sequence("start", F.col("stop") - length), F.coalesce("kept", F.array().cast("array<long>")))
-    return all_.select("ord", F.explode(places).alias("start")).withColumn("stop", F.col("start") + length)
+    return all_.select("ord", "h", F.explode(places).alias("start")).withColumn("stop", F.col("start") + length)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY, hot: int = HOT, row: Column | None = None, with_text: bool = False, tag: str = "suffix") -> DataFrame:
     """(_row, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row of docs (doc_id, text).
 
     Null text is empty. Earlier means a smaller doc_id (null: after all others). Rows that repeat both doc_id and text
-    are one document and get the same result; rows that repeat a doc_id with another text are apart, in an order of
-    their own. Matches never cross documents, and strings are judged on the input. Empty tables give no rows. `row` is
+    are one document and get the same result; rows that repeat a doc_id (null too) with another text are apart, in
+    the order of their texts' hashes. Matches never cross documents, and strings are judged on the input. Empty tables give no rows. `row` is
     what to carry (default doc_id); `with_text` adds the bytes that remain.
     """
     base = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), (F.col("doc_id") if row is None else row).alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
@@ -430,15 +430,16 @@ def dedup(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY, hot: int
     reps = materialize(base.groupBy("h").agg(F.min("ord").alias("first")), f"{tag}-first")
     packed = long_.select("ord", "h", "text").mapInArrow(pack, "ord long, h long, z binary")
     want = wanted.join(reps, "h").select("h", F.col("first").alias("ord"), "wanted")
-    dealt = materialize(_deal(packed.join(want, ["h", "ord"]).select("ord", "z", "wanted"), length), f"{tag}-dealt")
+    once = packed.join(want, ["h", "ord"]).dropDuplicates(["h", "ord"])  # else a repeated row would repeat itself
+    dealt = materialize(_deal(once.select("ord", "h", "z", "wanted"), length), f"{tag}-dealt")
     sent = dealt.filter("kind = 0")
     common = materialize(sent.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("minimizer"), f"{tag}-hot")
     few = common.isEmpty()
     spans = _shards(sent if few else sent.join(common, "minimizer", "left_anti"), length, memory)
     if not few:
         spans = spans.unionByName(_hot(sent.join(common, "minimizer", "left_semi"), length))
-    spans = spans.unionByName(dealt.filter("kind = 1").select("ord", "start", "stop"))
-    spans = materialize(spans.groupBy("ord").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), f"{tag}-spans")  # as long as a text
+    spans = spans.unionByName(dealt.filter("kind = 1").select("ord", "h", "start", "stop"))
+    spans = materialize(spans.groupBy("ord", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), f"{tag}-spans")  # as long as a text
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -461,8 +462,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY, hot: int
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["ord", "h", "_removed", "_spans", "_sha", "_kept"])
 
-    touched = spans.join(reps.select("h", F.col("first").alias("ord")), "ord")
-    again = packed.join(touched, ["h", "ord"]).select("ord", "h", "z", "spans")
+    again = packed.join(spans, ["h", "ord"]).select("ord", "h", "z", "spans")
     cuts = materialize(again.dropDuplicates(["ord", "h"]).mapInArrow(cut, "ord long, h long, _removed long, _spans long, _sha string, _kept binary"), f"{tag}-cuts")
     info = reps.join(cuts.withColumnRenamed("ord", "first"), ["h", "first"], "left")
     own = ["ord", "h", "_row", "n_bytes", *["text"] * with_text]

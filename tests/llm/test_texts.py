@@ -272,6 +272,21 @@ def test_dedup_equals_brute_force(spark, hot):
         assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
 
 
+@pytest.mark.parametrize("hot", [0, 10_000])
+def test_dedup_tells_texts_of_one_id_apart(spark, hot):
+    head, tail, rest = (sentence(i, 60)[:300] for i in (60, 61, 62))
+    own = [sentence(70 + i, 30) for i in range(8)]
+    rows = [(d, head + own[i]) for i, d in enumerate([None, None, 3, 3])]  # the same start in each
+    rows += [(None, own[4] + tail), (3, own[5] + own[6] + tail), (1, own[6] + rest), (1, own[6] + rest), (2, own[7] + rest), (None, own[0] * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("h", F.xxhash64("text"))
+    docs = sorted({(suffix_dedup.LAST if r["doc_id"] is None else r["doc_id"], r["h"], r["text"].encode()) for r in df.collect()})
+    want = {h: x for (_, h, _), x in zip(docs, brute_dedup([t for *_, t in docs]), strict=True)}
+    got = suffix_dedup.dedup(df, hot=hot, row=F.col("h"), with_text=True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["_row"]]
+
+
 def test_dedup_query(spark, small):
     docs = sorted((r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
     got = {r["doc_id"]: r for r in suffix_dedup.op7(spark, small).collect()}
