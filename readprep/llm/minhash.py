@@ -1,10 +1,10 @@
 """MinHash near-duplicates with ProbMinHash signatures.
 
-Every distinct shingle of a text is an element with weight 1 + log2(occurrences) that sends points of a Poisson process
-of that rate; each point falls on a random register, and a register keeps the element of its earliest point. An element
+Every distinct shingle of a text is an element that sends points of a Poisson process of rate 1, however often it
+occurs; each point falls on a random register, and a register keeps the element of its earliest point. An element
 stops as soon as its next point is later than every register's (early termination). Two texts agree on a register with
-their probability Jaccard similarity. Registers are banded; texts that share a band are verified by the exact Jaccard
-similarity of their shingle sets.
+their probability Jaccard similarity, which at equal weights is the Jaccard similarity of their shingle sets, by which
+links are decided. Registers are banded; texts that share a band are verified by that similarity, exactly.
 
 Equal texts are one class from the start. Within a band's group the members are first held against the group's
 smallest; only in groups that this leaves in several components are the other pairs looked at, and of these only those
@@ -50,12 +50,12 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[
     return row[keep], acc[keep]
 
 
-def weighted(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, element) with occurrences, in order; elements are 40-bit hashes."""
+def distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, element) in order; elements are 40-bit hashes."""
     key = (row.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
     key.sort()
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-    return (key[first] >> np.uint64(40)).astype(np.int64), key[first] & np.uint64((1 << 40) - 1), np.diff(np.r_[first, len(key)])
+    return (key[first] >> np.uint64(40)).astype(np.int64), key[first] & np.uint64((1 << 40) - 1)
 
 
 def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, m: int = REGISTERS) -> np.ndarray:
@@ -85,10 +85,10 @@ def sign(texts: pa.Array, m: int = REGISTERS) -> tuple[np.ndarray, np.ndarray]:
     """Signatures, and whether a text has any word."""
     raw, offsets = text_bytes(texts)
     n = len(offsets) - 1
-    row, element, count = weighted(*shingles(raw, offsets))
+    row, element = distinct(*shingles(raw, offsets))
     has = np.zeros(n, bool)
     has[row] = True
-    return signatures(row, element, 1 + np.log2(count), n, m), has
+    return signatures(row, element, np.ones(len(row)), n, m), has
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:

@@ -376,6 +376,25 @@ def test_signatures_estimate_the_probability_jaccard():
     assert (minhash.signatures(np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0), 2, 8) == 2**64 - 1).all()
 
 
+def repeated(seed, k, times):
+    """Two texts of about 200 shingles each: of k stanzas of 20 words, the second repeats three `times` over and has a word changed."""
+    rng = random.Random(seed)
+    stanzas = [[f"w{rng.randint(0, 10**9)}" for _ in range(20)] for _ in range(k)]
+    other = [list(x) for x in stanzas]
+    for x in other[:3]:
+        x *= times
+    other[-1][10] = f"w{rng.randint(0, 10**9)}"
+    return [" ".join(w for x in t for w in x) for t in (stanzas, other)]
+
+
+def test_groups_of_copies_that_repeat_a_passage(spark):
+    rows = list(enumerate(t for seed in range(60) for t in repeated(seed, 10, 20)))
+    want = brute_groups(rows)
+    assert sum(want[i] == i - 1 for i in want) == 60  # every pair is a link
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_links_between_join_all_components():
     sets = [np.sort(common.mix64(np.array([hash(s) & (2**63 - 1) for s in shingle_set(t)], np.uint64))) for t in copies(7, 12, 1) + copies(8, 12, 4)]
     n = len(sets)
