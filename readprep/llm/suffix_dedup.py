@@ -7,8 +7,9 @@ There a suffix array of the segments is built by induced sorting: the suffixes a
 names of their LMS substrings, all others are induced bucket by bucket through queues. Neighbouring suffixes are
 compared to a common prefix of LENGTH bytes; of each group of equal strings all but the first are repeats.
 
-The queues and arrays of a shard beyond MEMORY bytes are files in the task's temporary folder. A minimizer with more
-than HOT segments isn't gathered: its strings are counted one by one, by hash, with the first place of each. Equal
+The order of a shard's suffixes, which holds the queues, is a file in the task's temporary folder where it takes more
+than MEMORY bytes; the other arrays are in memory. A minimizer with more than HOT segments, or more than HOT_BYTES in
+them, isn't gathered: its strings are counted one by one, by hash, with the first place of each. Equal
 texts are one document first: every copy but the first is removed whole, or kept if it has under LENGTH bytes.
 """
 
@@ -32,6 +33,8 @@ GRAM = 24
 SHARD = 3 << 20
 MEMORY = 96 << 20
 HOT = 20_000
+HOT_BYTES = 4 << 20  # only periodic segments are longer than 2 * LENGTH - GRAM bytes, so others reach HOT first
+PIECE = 4096  # strings of a long segment that are looked at at once
 _NONE = np.uint64(np.iinfo(np.uint64).max)
 LAST = (1 << 63) - 1
 
@@ -379,18 +382,36 @@ def _hot(dealt: DataFrame, length: int) -> DataFrame:
     place by an aggregate that is combined before the shuffle; all other places are repeats."""
 
     def strings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(it, 256 << 10, "bytes"):
-            pieces = batch.column("bytes").to_pylist()
-            n = np.array([len(p) - length + 1 for p in pieces])
-            marks = [hashlib.blake2b(p[i : i + length], digest_size=16).digest() for p in pieces for i in range(len(p) - length + 1)]
-            order, h, start = (np.repeat(np.asarray(batch.column(c), np.int64), n) for c in ("ord", "h", "start"))
-            at = start + np.arange(len(marks)) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(h), pa.array(start), pa.array(at), pa.array(marks, pa.binary())], names=["ord", "h", "segment", "at", "mark"])
+        for whole in batches_of(it, 256 << 10, "bytes"):
+            for batch in cut(whole):
+                yield each_of(batch)
+
+    def cut(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+        held, size = [], 0
+        for o, h, start, p in zip(*(batch.column(c).to_pylist() for c in ("ord", "h", "start", "bytes")), strict=True):
+            for at in range(0, len(p) - length + 1, PIECE):
+                held.append((o, h, start + at, p[at : at + PIECE + length - 1]))
+                size += len(held[-1][3])
+                if size > 256 << 10:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
+    def each_of(batch: list[tuple]) -> pa.RecordBatch:
+        *places, pieces = zip(*batch, strict=True)
+        n = np.array([len(p) - length + 1 for p in pieces])
+        marks = [hashlib.blake2b(p[i : i + length], digest_size=16).digest() for p in pieces for i in range(len(p) - length + 1)]
+        order, h, start = (np.repeat(np.array(x, np.int64), n) for x in places)
+        at = start + np.arange(len(marks)) - np.repeat(np.cumsum(n) - n, n)
+        return pa.RecordBatch.from_arrays([pa.array(order), pa.array(h), pa.array(start), pa.array(at), pa.array(marks, pa.binary())], names=["ord", "h", "segment", "at", "mark"])
 
     each = dealt.select("ord", "h", "start", "bytes").mapInArrow(strings, "ord long, h long, segment long, at long, mark binary")
     first = each.groupBy(F.hex("mark").alias("mark")).agg(F.min(F.struct("ord", "h", "at", "segment")).alias("x")).select("x.ord", "x.h", F.col("x.segment").alias("start"), F.col("x.at").alias("at"))
     kept = first.groupBy("ord", "h", "start").agg(F.collect_list("at").alias("kept"))
-    all_ = dealt.select("ord", "h", "start", "stop").join(kept, ["ord", "h", "start"], "left")
+    starts = F.sequence("start", F.col("stop") - length, F.lit(PIECE).cast("long"))
+    all_ = dealt.select("ord", "h", F.explode(starts).alias("start"), "stop").withColumn("stop", F.least("stop", F.col("start") + PIECE + length - 1))
+    all_ = all_.join(kept, ["ord", "h", "start"], "left")
     places = F.array_except(F.sequence("start", F.col("stop") - length), F.coalesce("kept", F.array().cast("array<long>")))
     return all_.select("ord", "h", F.explode(places).alias("start")).withColumn("stop", F.col("start") + length)
 
@@ -433,7 +454,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY, hot: int
     once = packed.join(want, ["h", "ord"]).dropDuplicates(["h", "ord"])  # else a repeated row would repeat itself
     dealt = materialize(_deal(once.select("ord", "h", "z", "wanted"), length), f"{tag}-dealt")
     sent = dealt.filter("kind = 0")
-    common = materialize(sent.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("minimizer"), f"{tag}-hot")
+    common = materialize(sent.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop") - F.col("start")).alias("size")).filter((F.col("n") > hot) | (F.col("size") > HOT_BYTES)).select("minimizer"), f"{tag}-hot")
     few = common.isEmpty()
     spans = _shards(sent if few else sent.join(common, "minimizer", "left_anti"), length, memory)
     if not few:

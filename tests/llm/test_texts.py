@@ -287,6 +287,18 @@ def test_dedup_tells_texts_of_one_id_apart(spark, hot):
         assert (r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["_row"]]
 
 
+def test_long_periodic_segments_are_not_gathered(spark, monkeypatch):
+    called, own = [], suffix_dedup._hot
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 5000, raising=False)
+    monkeypatch.setattr(suffix_dedup, "_hot", lambda *a: called.append(1) or own(*a))
+    texts = [sentence(80 + i, 20) + "one short line\n" * (100 + 250 * i) + sentence(90 + i, 20) for i in range(4)] + ["x" * 9000, sentence(99, 5) + "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["_row"]: r for r in suffix_dedup.dedup(df, with_text=True).collect()}
+    for i, want in enumerate(brute_dedup([t.encode() for t in texts])):
+        assert (got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept"])) == want
+    assert called  # far under 20,000 segments
+
+
 def test_dedup_query(spark, small):
     docs = sorted((r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
     got = {r["doc_id"]: r for r in suffix_dedup.op7(spark, small).collect()}
