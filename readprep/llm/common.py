@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
 PARTS = 1024  # salted parts of a key whose rows are numbered; fixed, so that numbers don't depend on the session
 
 
@@ -22,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the cluster names none (tests) is a local one made."""
+    """The folder all executors share, spark.checkpoint.dir. Only a local master may leave it unset; then one is made."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="readprep-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
@@ -35,21 +40,41 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: the lineage is cut and survives the loss of any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/readprep/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_made: list[str] = []
+_made: dict[str, list[str]] = {}
+_owner: contextvars.ContextVar[str] = contextvars.ContextVar("owner", default="")
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, which `clear` of the present owner deletes."""
+    path = f"{shared_dir(spark)}/readprep/{tag}-{uuid.uuid4().hex}"
+    _made.setdefault(_owner.get(), []).append(path)
+    return path
+
+
+@contextlib.contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Whatever is written in this block belongs to `owner`."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+def clear(spark: SparkSession, owner: str = "") -> None:
+    """Delete what was written for `owner` (default: outside any `owned` block); only where no result that reads it is still needed."""
+    for path in _made.pop(owner, []):
+        delete(spark, path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete the tables that earlier calls of `materialize` left; only where no result that reads them is still needed."""
-    jvm = spark.sparkContext._jvm
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def delete(spark: SparkSession, path: str) -> None:
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def shuffle_parts(df: DataFrame) -> int:
@@ -147,6 +172,11 @@ def batches_of(it, most_bytes: int = 2 << 20, column: str = "text"):
 # ------------------------------------------------------------------ connected components
 
 
+def fingerprint(rows: DataFrame, *columns: str) -> tuple:
+    """Count and 128 bits that tell sets of distinct rows apart; exclusive ors don't overflow, whatever the number of rows."""
+    return tuple(rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*columns)), F.bit_xor(F.xxhash64(F.lit(1), *columns))).first())
+
+
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(id, component) of every vertex of `edges` (a, b long, not null): component is its smallest reachable id.
 
@@ -164,7 +194,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         down = e1.groupBy("b").agg(F.min("a").alias("m"))
         small = e1.join(down, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("s")).select("s.a", "s.b")
         e = materialize(small.filter("a <> b").distinct(), tag)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a").bitwiseAND(F.lit((1 << 40) - 1)))).first()
+        now = fingerprint(e, "a", "b")
         if now == seen:
             break
         seen = now

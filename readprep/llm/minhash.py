@@ -166,7 +166,7 @@ def _cross(members: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataF
     Bands whose groups have the same members are looked at once. Pairs are verified where they are found, so a task
     emits fewer links than it has members."""
     named = members.join(parts.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"), F.sum(F.hash("id").cast("long")).alias("m1"), F.sum(F.xxhash64("id").bitwiseAND((1 << 40) - 1)).alias("m2"))
+    mixed = named.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("m2"))
     mixed = mixed.filter("x <> y and n > 2").groupBy("n", "m1", "m2").agg(F.min(F.struct("band", "key")).alias("g"))
     rows = named.join(mixed.select("g.band", "g.key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), ["band", "key"])
     rows = materialize(rows.select("band", "key", "id", "component", "chunks"), f"{tag}-mixed")

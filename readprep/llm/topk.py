@@ -4,7 +4,10 @@ Candidates are ordered by length (norm) and cut into blocks, blocks into buckets
 longest block is a lower bound, so in a bucket whose longest vector has norm l only cosines of at least
 bound / (|q| * l) matter: above 1 the bucket and all shorter ones go; at high local thresholds candidates must lie in
 the feasible range of the query's largest coordinates; else those long enough are kept. What is left is verified by
-exact integer products. Bounds rise as blocks are seen. The query set meets all rows block by block.
+exact integer products. Bounds rise as blocks are seen.
+
+The query set meets all rows cell by cell: some blocks of queries, held by a task, and a run of candidate blocks that it
+reads one after the other. Which cells can matter is told from norms and bounds alone, before any vector is shuffled.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from .common import materialize, shuffle_parts, table
 K = 20
 BLOCK = 2048
 BUCKET = 256
-GRID = 4  # blocks by blocks that one join key holds
+SEEDED = 64  # dimensions that start from a bound; the others find theirs on the way
+HELD = 2048  # dimensions by query blocks that a task holds: 32 MiB of vectors
+MET = 256  # candidate blocks, at most, that a task then reads one by one
 STEEP = 0.7  # local cosine threshold from which coordinates prune
 FOCUS = 4
 
@@ -71,14 +76,29 @@ def _blocks(rows: DataFrame, tag: str) -> DataFrame:
     return materialize(packed.withColumn("block", F.monotonically_increasing_id()), tag)
 
 
+MOST = (1 << 63) - 1
+
+
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of float64 arrays that hold integers."""
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
+    """Inner products of float64 arrays that hold integers: exact, those past 64 bits held at -MOST or MOST."""
+    d = max(q.shape[1], 1)
+    a, b = np.abs(q).max(1, initial=0), np.abs(c).max(1, initial=0)
+    top = float(a.max(initial=0)) * float(b.max(initial=0)) * d
     if top < 2**53:
         return (q @ c.T).astype(np.int64)
-    if top < 2**63:
+    if top < 2**62:
         return q.astype(np.int64) @ c.astype(np.int64).T
-    raise OverflowError("an inner product may not fit in 64 bits")
+    # only pairs of large vectors need integers of any size
+    out = np.zeros((len(q), len(c)), np.int64)
+    for i in range(len(q)):
+        reach = a[i] * b * d
+        fits = reach < 2**53
+        out[i, fits] = (c[fits] @ q[i]).astype(np.int64)
+        own = [int(x) for x in q[i]]
+        for j in np.flatnonzero(~fits):
+            s = sum(x * int(y) for x, y in zip(own, c[j], strict=True))
+            out[i, j] = max(-MOST, min(MOST, s))
+    return out
 
 
 def _best(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -103,7 +123,7 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, c: np.ndar
         seen["pairs"] += len(q) * len(c[part])
         # without a bound (-inf), or with a bound <= 0, nothing can be pruned
         local = np.where(bound > 0, bound * (1 - 1e-12) / np.maximum(qn * longest, 1e-300), -1.0)
-        live = np.flatnonzero(local <= 1)
+        live = np.flatnonzero(~(local > 1))
         if not len(live):
             continue
         steep = live[local[live] >= STEEP]
@@ -124,7 +144,7 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, c: np.ndar
                 seen["verified"] += len(s)
                 keep = (s >= bound[i]) & (c_ids[at_c] != q_ids[i])
                 found.append((np.full(keep.sum(), i), at_c[keep], s[keep]))
-        flat = live[local[live] < STEEP]
+        flat = live[~(local[live] >= STEEP)]
         if len(flat):  # length pruning: those too short for every query of the block go
             least = np.where(bound[flat] > 0, bound[flat] * (1 - 1e-12) / np.maximum(qn[flat], 1e-300), 0).min()
             at_c = np.flatnonzero(cn[part] >= least) + at
@@ -154,7 +174,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products over all candidates, ties to
     the smaller vec_id, without candidates of the query's own id.
 
-    Both have (id long, v array<double>) with integer values. Rows with a null id, or a vector that is null, empty or
+    Both have (id long, v array<double>) with integer values. A product past 64 bits counts as 2^63 - 1, or its negative,
+    and ties with others such. Rows with a null id, or a vector that is null, empty or
     holds null or non-finite components, take no part. Vectors of another dimension than the query's aren't scored.
     Repeated candidates all count; repeated queries give repeated answers. Empty tables give no rows.
     """
@@ -162,7 +183,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     clean = lambda df: df.filter(F.col("id").isNotNull() & valid(F.col("v"))).select("id", "v")
     cands, asks = _blocks(clean(candidates), "topk-candidates"), _blocks(clean(queries), "topk-queries")
     seeds: dict[int, tuple[bytes, bytes]] = {}  # the longest block of each dimension, BLOCK rows at most
-    for r in cands.groupBy("dim").agg(F.max_by(F.struct("ids", "data"), "norm").alias("x")).limit(64).collect():
+    longest = cands.groupBy("dim").agg(F.max_by(F.struct("ids", "data"), "norm").alias("x"), F.sum("n").alias("rows"))
+    for r in longest.orderBy(F.desc("rows"), "dim").limit(SEEDED).collect():  # bounds of further dimensions rise without a seed
         seeds[r["dim"]] = (r["x"]["ids"], r["x"]["data"])
     seed = spark.sparkContext.broadcast(seeds)
 
@@ -170,7 +192,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         for batch in it:
             out = []
             for r in batch.to_pylist():
-                bound = np.full(r["n"], np.iinfo(np.int64).min)
+                bound = np.full(r["n"], -MOST)
                 if r["dim"] in seed.value:
                     ids, data = seed.value[r["dim"]]
                     search_block(_array(r["data"], r["dim"]), np.frombuffer(r["ids"], "<i8"), bound, _array(data, r["dim"]), np.frombuffer(ids, "<i8"), k)
@@ -179,33 +201,81 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("dim", "norm", "ids", "data", "block")], *cols], names=["dim", "norm", "ids", "data", "block", "bounds", "low"])
 
     asks = materialize(asks.mapInArrow(bounds, "dim int, norm double, ids binary, data binary, block long, bounds binary, low double"), "topk-bounds")
-    n_q, n_c = asks.count(), cands.count()
-    sides = max(1, -(-n_q // GRID)), max(1, -(-n_c // GRID))
-    h = F.pmod(F.xxhash64("block"), F.lit(sides[0])).cast("int")
-    g = F.pmod(F.xxhash64("block"), F.lit(sides[1])).cast("int")
-    left = asks.select(h.alias("h"), F.explode(F.sequence(F.lit(0), F.lit(sides[1] - 1))).alias("g"), "dim", F.col("block").alias("q_block"), F.col("norm").alias("q_norm"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "bounds", "low")
-    right = cands.select(F.explode(F.sequence(F.lit(0), F.lit(sides[0] - 1))).alias("h"), g.alias("g"), "dim", "norm", "ids", "data")
-    pairs = left.join(right, ["h", "g", "dim"]).filter((F.col("low") <= 0) | (F.col("q_norm") * F.col("norm") * (1 + 1e-9) >= F.col("low")))
+    # a block's id holds its task and its place there; blocks are in order of dimension and norm
+    place = F.col("block").bitwiseAND((1 << 33) - 1)
+    met = max(1, min(MET, -(-cands.count() // shuffle_parts(candidates))))
+    task = F.shiftright("block", 33) * (1 << 33)
+    asks = asks.withColumn("h", task + F.floor(place * F.col("dim") / HELD))
+    cands = cands.withColumn("g", task + F.floor(place / met))
+    reach = F.when(F.col("low") > 0, F.try_divide(F.col("low"), F.col("norm"))).otherwise(0.0)
+    cells = asks.groupBy("dim", "h").agg(F.min(reach).alias("reach")).join(cands.groupBy("dim", "g").agg(F.max("norm").alias("most")), "dim")
+    cells = materialize(cells.filter(F.col("most") * (1 + 1e-9) >= F.col("reach")).select("dim", "h", "g"), "topk-cells")
+    own = ["dim", "h", "g", "kind", "block", "norm", "ids", "data", "bounds"]
+    left = asks.hint("merge").join(cells, ["dim", "h"]).withColumn("kind", F.lit(0)).select(*own)
+    right = cands.hint("merge").join(cells, ["dim", "g"]).withColumn("kind", F.lit(1)).withColumn("bounds", F.lit(None).cast("binary")).select(*own)
+    cell = ["dim", "h", "g"]
+    met_by = left.unionByName(right).repartition(shuffle_parts(candidates), *cell).sortWithinPartitions(*cell, "kind", F.desc("norm"))
 
     def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        risen: dict[int, np.ndarray] = {}
+        held: list[Asked] = []
+        last = None
         for batch in it:
             for r in batch.to_pylist():
-                if len(risen) > 64:
-                    risen.clear()
-                bound = risen.setdefault(r["q_block"], np.frombuffer(r["bounds"], "<i8").copy())
-                q_ids = np.frombuffer(r["q_ids"], "<i8")
-                row, ids, score, _ = search_block(_array(r["q_data"], r["dim"]), q_ids, bound, _array(r["data"], r["dim"]), np.frombuffer(r["ids"], "<i8"), k)
-                key = row.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), r["q_block"])), pa.array(key), pa.array(q_ids[row]), pa.array(ids), pa.array(score)], names=["q_block", "q_row", "query_id", "vec_id", "score"])
-
-    found = pairs.select("dim", "q_block", "q_ids", "q_data", "bounds", "ids", "data").mapInArrow(search, "q_block long, q_row long, query_id long, vec_id long, score long")
+                if (key := (r["dim"], r["h"], r["g"])) != last:
+                    yield from (a.found(k) for a in held)
+                    held, last = [], key
+                v, ids = _array(r["data"], r["dim"]), np.frombuffer(r["ids"], "<i8")
+                if r["kind"] == 0:
+                    held.append(Asked(r["block"], r["norm"], v, ids, np.frombuffer(r["bounds"], "<i8").copy()))
+                else:
+                    for a in held:
+                        a.meet(v, ids, r["norm"], k)
+        yield from (a.found(k) for a in held)
+
+    found = met_by.mapInArrow(search, "q_block long, q_row long, query_id long, vec_id long, score long")
     w = Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+class Asked:
+    """A block of queries and the best candidates met so far."""
+
+    def __init__(self, block: int, norm: float, q: np.ndarray, ids: np.ndarray, bound: np.ndarray):
+        self.block, self.norm, self.q, self.ids, self.bound = block, norm, q, ids, bound
+        self.best = [tuple(np.zeros(0, np.int64) for _ in range(3))]
+
+    def meet(self, c: np.ndarray, ids: np.ndarray, norm: float, k: int) -> None:
+        low = self.bound.min()
+        if low > 0 and self.norm * norm * (1 + 1e-9) < low:
+            return
+        self.best.append(search_block(self.q, self.ids, self.bound, c, ids, k)[:3])
+        if sum(len(x[0]) for x in self.best) > 4 * k * len(self.q):
+            row, _, score = self._cut(k)
+            n = np.bincount(row, minlength=len(self.q))
+            least = np.full(len(self.q), MOST)
+            np.minimum.at(least, row, score)
+            self.bound[n >= k] = np.maximum(self.bound, least)[n >= k]
+
+    def _cut(self, k: int) -> tuple[np.ndarray, ...]:
+        row, ids, score = (np.concatenate(x) for x in zip(*self.best, strict=True))
+        keep = _best(row, ids, score, k)
+        self.best = [(row[keep], ids[keep], score[keep])]
+        return self.best[0]
+
+    def found(self, k: int) -> pa.RecordBatch:
+        row, ids, score = self._cut(k)
+        cols = [pa.array(x, pa.int64()) for x in (np.full(len(row), self.block), row, self.ids[row], ids, score)]
+        return pa.RecordBatch.from_arrays(cols, names=["q_block", "q_row", "query_id", "vec_id", "score"])
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("double"))
+    """Vectors null or with null or non-finite components take no part, nor do those where 64 * x isn't finite any more."""
+    # a double from 2^53 on is an integer already, and floor() gives a long, which ends at 2^63
+    def grain(x: Column) -> Column:
+        y = x.cast("double") * 64
+        return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+
+    v = F.transform("embedding", grain)
     e = table(spark, sf_dir, "embeddings").filter(valid(F.col("embedding"))).select(F.col("vec_id").alias("id"), v.alias("v"))
     return top_k(e, e.filter(F.pmod("id", F.lit(20)) == 0))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_parts, table
+from .common import new_path, shuffle_parts, table
 
 LEAST_PAYLOAD = 100
 RECORDS_PER_FILE = 2000
@@ -195,7 +195,5 @@ def archive(pages: DataFrame, path: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    out = archive(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/readprep/warc-{uuid.uuid4().hex}")
+    out = archive(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -74,8 +76,38 @@ def test_top_k_odd_rows(spark):
 def test_large_integers_stay_exact():
     q, c = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 3.0]])
     assert T._scores(q, c)[0, 0] == 2**60 + 3
-    with pytest.raises(OverflowError):
-        T._scores(np.array([[2.0**40]]), np.array([[2.0**40]]))
+    q, c = np.array([[2.0**40], [-(2.0**40)], [3.0], [2.0**100]]), np.array([[2.0**40], [2.0**22], [1.0], [0.0]])
+    top = 2**63 - 1
+    assert T._scores(q, c).tolist() == [[top, 2**62, 2**40, 0], [-top, -(2**62), -(2**40), 0], [3 * 2**40, 3 * 2**22, 3, 0], [top, top, 2**100 if 2**100 < top else top, 0]]
+
+
+def test_top_k_of_very_large_components(spark, tmp_path):
+    """Floats up to 3e38: products past 64 bits tie at the most that a long holds, and every row takes part."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((60, 4)).astype(np.float32)
+    v[::7] *= np.float32(1e30)
+    v[5] = 3e38
+    v[41] = -3e38
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    whole = [(i, [math.floor(64 * float(x)) for x in v[i]]) for i in range(60)]
+    want = []
+    for q, a in whole[::20]:
+        best = sorted((-max(-(2**63) + 1, min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True)))), i) for i, b in whole if i != q)[:20]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, T.op2(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_cells_of_many_blocks_stay_exact(spark):
+    rng = np.random.default_rng(12)
+    v = np.floor(rng.standard_normal((3000, 8)) * 3000 / (1 + np.arange(3000)[:, None]))
+    df = spark.createDataFrame([(i, x.tolist(), 5, 7) for i, x in enumerate(v)], "id long, v array<double>, dim int, norm int")
+    T.BLOCK = 50
+    try:
+        got = T.top_k(df, df.filter("id % 20 = 0 and id < 400"), 20)
+        assert sorted(map(tuple, got.collect())) == sorted(r for r in brute_top([(i, x) for i, x in enumerate(v)], 20) if r[0] < 400)
+    finally:
+        T.BLOCK = 2048
 
 
 def brute_links(rows):
