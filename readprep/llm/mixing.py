@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import PARTS, WORD, materialize, part_of, ranked, table
+from .common import PARTS, SPACE, WORD, materialize, part_of, ranked, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
-MAX_ROUNDS = 40
+MAX_ROUNDS = 300  # a bracket is doubled, then halved: far more than any finite rates need
 TOLERANCE = 1e-7
 
 
@@ -48,14 +48,16 @@ def targets(spark: SparkSession, cells: DataFrame, weights: tuple[float, ...], c
 
 
 def solve(cells: DataFrame, src: DataFrame, cap: int) -> DataFrame:
-    """The multiplier of each source: (_key, source_size, target, _mean, _lambda)."""
+    """The multiplier of each source: (_key, source_size, target, _mean, _lambda, _full). One table is written a round.
+
+    RuntimeError if a source is further than TOLERANCE from its target after MAX_ROUNDS."""
     top = float(cap)
     state = src.withColumn("_mean", F.greatest(F.col("source_size") / F.col("_docs"), F.lit(1e-9)))
     state = state.withColumn("_full", (F.col("source_size") == 0) | (F.col("target") >= top * F.col("source_size") * (1 - 1e-12)))
     state = state.withColumn("_lambda", F.when(F.col("_full"), F.lit(0.0)).otherwise(F.log(F.col("target") / F.col("source_size"))))
     state = state.withColumn("_lo", F.lit(-1e6)).withColumn("_hi", F.lit(1e6))
+    state, worst = materialize(state, "mix-dual"), None
     for _ in range(MAX_ROUNDS):
-        state = materialize(state, "mix-dual")
         s = state.filter(~F.col("_full"))
         x = F.col("size") / F.col("_mean")
         r = F.exp(F.least(F.col("_lambda") * x, F.log(F.lit(top))))
@@ -77,6 +79,8 @@ def solve(cells: DataFrame, src: DataFrame, cap: int) -> DataFrame:
         state = state.drop("_gap")
         if worst is None or worst <= TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"a source is {worst:.3g} of its target away from it after {MAX_ROUNDS} rounds")
     return state.select("_key", "source_size", "target", "_mean", "_lambda", "_full")
 
 
@@ -123,10 +127,11 @@ def mix(docs: DataFrame, row: Column | None = None, weights: tuple[float, ...] =
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The mix itself: the columns of docs, one row for each repeat; a partial repeat holds the text's first words.
+    """The mix itself: the columns of docs, one row for each repeat; a partial repeat is the text up to the end of a word.
 
-    doc_id repeats for repeats, and n_chars, where there is one, follows a text that is cut. Documents without words
-    stay once.
+    doc_id repeats for repeats, and n_chars, where there is one, follows a text that is cut. Documents without words,
+    null texts among them, stay once. Repeated rows count as rows; a null source is one of its own; an empty table
+    gives no rows.
     """
     cols = docs.columns
     out = mix(docs, F.struct(*[F.col(c) for c in cols]), weights, cap)
@@ -134,7 +139,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
     repeats = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / words)).cast("int")
     out = out.select("_row", repeats.alias("_repeats"), F.pmod("taken", words).cast("int").alias("_cut"))
     out = out.select("_row", "_repeats", "_cut", F.posexplode(F.array_repeat(F.lit(0), F.col("_repeats") + F.when(F.col("_cut") > 0, 1).otherwise(0))).alias("_i", "_zero"))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(f"({WORD})")), F.lit(1), F.col("_cut")), " ")
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(f"({SPACE}*{WORD})")), F.lit(1), F.col("_cut")), "")
     text = F.when(F.col("_i") < F.col("_repeats"), F.col("_row.text")).otherwise(head)
     own = {"text": text} | ({"n_chars": F.when(F.col("_i") < F.col("_repeats"), F.col("_row.n_chars")).otherwise(F.length(text))} if "n_chars" in cols else {})
     return out.select(*[own.get(c, F.col(f"_row.`{c}`")).alias(c) for c in cols])

@@ -195,26 +195,31 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(by))
 
 
-def _measured(docs: DataFrame) -> DataFrame:
-    """(_id, x): the features of every row of docs (doc_id, text), written to the shared folder."""
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("text"))
+def _arrays(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))
+
+
+def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
+    """Fit labels.quality (0 or 1; others and nulls are ignored) of the documents whose remainder modulo 3 isn't 1.
+
+    Every distinct (doc_id, text, label) counts once. Of more than `rows` about `rows` are taken, by hash, so what is
+    broadcast, and then collected, is bounded: their ids and their features.
+    """
+    own = labels.filter(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), 3) != 1)).select(F.col("doc_id").alias("_id"), F.col("quality").alias("y")).distinct()
+    texts = docs.select(F.col("doc_id").alias("_id"), "text", F.xxhash64("text").alias("_t"))
+    marked = materialize(texts.select("_id", "_t").join(own, "_id").distinct(), "quality-labelled")
+    n = marked.count()
+    if n > rows:
+        marked = marked.filter(F.pmod(F.xxhash64("_id", "_t", "y"), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
 
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(it):
             x = features(*text_bytes(batch.column("text")))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), flat], names=["_id", "x"])
-
-    return materialize(rows.mapInArrow(measure, rows.drop("text").schema.add("x", T.ArrayType(T.DoubleType()))), "quality-features")
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_t"), batch.column("y"), _arrays(x)], names=["_id", "_t", "y", "x"])
 
-
-def learn(measured: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fit labels.quality (0 or 1; others and nulls are ignored) of the rows whose remainder modulo 3 isn't 1."""
-    own = labels.filter(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), 3) != 1)).select(F.col("doc_id").alias("_id"), F.col("quality").alias("y"))
-    n = own.count()
-    if n > rows:
-        own = own.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
-    train = measured.select("_id", "x").join(own, "_id").select("x", "y").toArrow()
+    chosen = texts.join(F.broadcast(marked), ["_id", "_t"]).select("_id", "_t", "y", "text")
+    found = chosen.mapInArrow(measure, chosen.drop("text").schema.add("x", T.ArrayType(T.DoubleType())))
+    train = found.dropDuplicates(["_id", "_t", "y"]).select("x", "y").toArrow()
     x = np.asarray(train.column("x").combine_chunks().flatten(), np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, np.asarray(train.column("y"))))  # rows arrive in any order; sums shall not depend on it
     return fit(x[order], np.asarray(train.column("y"), np.float64)[order])
@@ -223,25 +228,28 @@ def learn(measured: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model
 def classify(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs (doc_id, text).
 
-    Learns by doc_id; a doc_id that has several labels or rows counts each. At most about `rows` labelled rows, by hash
-    of doc_id, enter the fit. Null and empty texts are scored from features of zero. Without labels every score is
-    0.5. A null doc_id counts as empty text for the fold. Empty tables give no rows.
+    Learns by doc_id; a doc_id that has several labels or texts counts each. At most about `rows` labelled texts, by
+    hash, enter the fit; every text is scored, in one pass. Null and empty texts are scored from features of zero.
+    Repeated rows get equal scores. Without labels every score is 0.5. A null doc_id counts as empty text for the
+    fold. Empty tables give no rows.
     """
-    measured = _measured(docs)
-    model = learn(measured, labels, rows)
+    model = learn(docs, labels, rows)
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            s = model.score(np.asarray(batch.column("x").flatten(), np.float64).reshape(-1, len(FEATURES)))
+        for batch in batches_of(it):
+            s = model.score(features(*text_bytes(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    out = measured.select(F.col("_id").alias("doc_id"), (remainder(F.col("_id"), 3) == 1).alias("held_out"), "x")
-    return out.mapInArrow(score, out.drop("x").schema.add("score", "double").add("predicted", "integer"))
+    out = docs.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
+    return out.mapInArrow(score, out.drop("text").schema.add("score", "double").add("predicted", "integer"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of docs whose predicted quality is 1, with all their columns; texts are read twice, none is shuffled."""
-    model = learn(_measured(docs), labels, rows)
+    """The rows of docs whose predicted quality is 1, with all their columns; texts are scored in one pass, none is shuffled.
+
+    Null and empty texts are scored as such, repeated rows go or stay together, an empty table gives no rows.
+    """
+    model = learn(docs, labels, rows)
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(it):

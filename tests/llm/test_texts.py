@@ -51,6 +51,14 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_fingerprints_hold_many_rows(spark):
+    """Sums of 64-bit hashes would overflow here; exclusive ors don't."""
+    n = 1 << 25
+    many = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = common.fingerprint(many, "a", "b")
+    assert got[0] == n and got != common.fingerprint(many.withColumn("b", F.col("b") + (F.col("a") == 5).cast("int")), "a", "b")
+
+
 # ------------------------------------------------------------------ token counts
 
 
@@ -152,6 +160,45 @@ def test_rates_are_tilted(spark, small):
             assert all(r["copies"] <= 1 for r in own)
 
 
+def test_rates_equal_a_plain_solver(spark, small):
+    """The multipliers against bisection over all documents of a source."""
+    import math
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = docs.select("source", mixing.size_of(F.col("text")).alias("size")).collect()
+    key = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source")))
+    cells = docs.select(key.alias("_key"), mixing.size_of(F.col("text")).alias("size")).groupBy("_key", "size").agg(F.count(F.lit(1)).alias("_n"))
+    state = mixing.solve(cells, mixing.targets(spark, cells, mixing.WEIGHTS, 3), 3).collect()
+    by = {}
+    for r in rows:
+        by.setdefault("1" if r["source"] is None else "0" + r["source"], []).append(r["size"])
+    assert len(state) == len(by)
+    for r in state:
+        sizes, mean = by[r["_key"]], sum(by[r["_key"]]) / len(by[r["_key"]])
+        if not r["_full"]:
+            lo, hi = -50.0, 50.0
+            for _ in range(200):
+                mid = (lo + hi) / 2
+                total = sum(s * min(3.0, math.exp(min(mid * s / mean, 10))) for s in sizes)
+                lo, hi = (mid, hi) if total < r["target"] else (lo, mid)
+            assert r["_lambda"] == pytest.approx(lo, rel=1e-5, abs=1e-7)
+
+
+def test_rates_that_do_not_converge_raise(spark, small, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        mixing.mix(spark.read.parquet(f"{small}/documents.parquet"))
+
+
+def test_partial_repeats_are_verbatim(spark):
+    text = "  one\ttwo\n\nthree  four five six seven\n"
+    docs = spark.createDataFrame([(i, text if i % 2 else "a\nb " * 9, "xyz"[i % 3], 7) for i in range(30)], "doc_id long, text string, source string, size long")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    out = mixing.mixed_documents(docs).collect()
+    cut = [r for r in out if r["text"] != texts[r["doc_id"]]]
+    assert cut and all(texts[r["doc_id"]].startswith(r["text"]) and words(r["text"]) == words(texts[r["doc_id"]])[: len(words(r["text"]))] for r in cut)
+
+
 def test_mixed_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     out = mixing.mixed_documents(docs)
@@ -182,6 +229,64 @@ def test_quality_odd(spark, odd, none):
     assert quality.good_documents(odd, labels.filter("false")).columns == odd.columns
 
 
+def plain_boost(x, y):
+    """Cyclic boosting of one-feature trees in plain Python: the score of each row."""
+    import math
+
+    n, d = x.shape
+    p0 = (sum(y) + 1) / (n + 2)
+    z = [math.log(p0 / (1 - p0))] * n
+    edges = [sorted(set(np.quantile(x[:, k], np.linspace(0, 1, quality.BINS + 1)[1:-1], method="nearest").tolist())) for k in range(d)]
+    at = [[sum(e <= v for e in edges[k]) for v in x[:, k]] for k in range(d)]
+    for _ in range(quality.ROUNDS):
+        for k in range(d):
+            p = [1 / (1 + math.exp(-v)) for v in z]
+            own = range(len(edges[k]) + 1)
+            g = [sum(y[i] - p[i] for i in range(n) if at[k][i] == b) for b in own]
+            h = [sum(p[i] * (1 - p[i]) for i in range(n) if at[k][i] == b) for b in own]
+            value = lambda a, b: sum(g[a:b]) ** 2 / (sum(h[a:b]) + quality.L2)  # noqa: B023, E731
+            parts = [(0, len(own))]
+            while len(parts) < 4:
+                cuts = [(value(a, m) + value(m, b) - value(a, b), -j, -m) for j, (a, b) in enumerate(parts) for m in range(a + 1, b)]
+                if not cuts or max(cuts)[0] <= 1e-9:
+                    break
+                _, j, m = max(cuts)
+                a, b = parts[-j]
+                parts[-j : -j + 1] = [(a, -m), (-m, b)]
+            for a, b in parts:
+                step = quality.RATE * sum(g[a:b]) / (sum(h[a:b]) + quality.L2)
+                z = [v + step if a <= at[k][i] < b else v for i, v in enumerate(z)]
+    return [1 / (1 + math.exp(-v)) for v in z]
+
+
+def test_fit_equals_plain_boosting(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.random((60, 3)).round(2)
+    y = (x[:, 0] + 0.3 * x[:, 1] + 0.2 * rng.standard_normal(60) > 0.6).astype(float)
+    monkeypatch.setattr(quality, "ROUNDS", 12)
+    monkeypatch.setattr(quality, "PAIRS", 0)
+    assert np.allclose(quality.fit(x, y).score(x), plain_boost(x, y))
+
+
+def test_query_fits_and_scores_by_the_plain_way(spark, small):
+    """op6 against a fit and lookups over all labelled rows outside Spark, row by row."""
+    import zlib
+
+    held = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{small}/labels.parquet").collect()]
+    one = {d: quality.features(*common.text_bytes(pa.array([t], pa.string())))[0] for d, t in docs.items()}
+    own = sorted(((q, *one[d][::-1]) for d, q in labels if q in (0, 1) and not held(d) and d in docs))
+    model = quality.fit(np.array([r[:0:-1] for r in own]), np.array([r[0] for r in own], float))
+    got = quality.op6(spark, small).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        z = model.bias + sum(t[sum(e <= v for e in edges)] for v, edges, t in zip(one[r["doc_id"]], model.edges, model.tables, strict=True))
+        z += sum(t[sum(e <= one[r["doc_id"]][i] for e in a), sum(e <= one[r["doc_id"]][j] for e in b)] for i, j, a, b, t in model.pairs)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-6, abs=1e-9)
+        assert (r["held_out"], r["predicted"]) == (held(r["doc_id"]), int(r["score"] >= 0.5))
+
+
 def test_features_are_per_text():
     texts = ["A b!", "", "x\nx\ny", None, "Été ÉTÉ 12 ###"]
     together = quality.features(*common.text_bytes(pa.array(texts, pa.string())))
