@@ -99,6 +99,25 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column | str], out: str,
     return local.join(base.hint("merge"), [*keys, "_part"]).withColumn(out, (F.col("_base") + F.col("_local")).cast("long")).drop("_part", "_base", "_local")
 
 
+HOT_ROWS = 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how: str = "left") -> DataFrame:
+    """`left` (read from files) joined by `key` to `right`, which has one row a key, without gathering a key's rows.
+
+    `counts` has (key, _n), the rows of left by key, as a written table. A key with more than HOT_ROWS rows and more than a
+    thousandth of all (so at most a thousand keys, which are broadcast) is dealt out in chunks, and its right row with it.
+    """
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    limit = max(HOT_ROWS, -(-total // 1000))
+    hot = F.broadcast(counts.filter(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).alias("_chunks")))
+    chunks = F.coalesce("_chunks", F.lit(1))
+    numbered = left.withColumn("_place", F.monotonically_increasing_id())
+    salted = numbered.join(hot, key, "left").withColumn("_salt", F.pmod("_place", chunks)).drop("_place", "_chunks")
+    copied = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).drop("_chunks")
+    return salted.join(copied.hint("merge"), [key, "_salt"], how).drop("_salt")
+
+
 # ------------------------------------------------------------------ words of an Arrow column of texts
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)

@@ -6,28 +6,28 @@ stops as soon as its next point is later than every register's (early terminatio
 their probability Jaccard similarity, which at equal weights is the Jaccard similarity of their shingle sets, by which
 links are decided. Registers are banded; texts that share a band are verified by that similarity, exactly.
 
-Equal texts are one class from the start. Within a band's group the members are first held against the group's
-smallest; only in groups that this leaves in several components are the other pairs looked at, and of these only those
-between components whose signatures agree in at least LEAST_AGREE registers. No group is gathered or paired out whole.
+Equal texts, told by their SHA-256, are one class from the start. Within a band's group the members are first held
+against the group's smallest; only in groups that this leaves in several components are the other pairs looked at, and of
+these only those between components. Before texts are compared, signatures are: registers are independent, so the chances
+below are binomial. No group is gathered or paired out whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import batches_of, components, materialize, mix64, table, text_bytes, words_of
+from .common import batches_of, components, materialize, mix64, shuffle_parts, spread_join, table, text_bytes, words_of
 
 WORDS = 5
 THRESHOLD = 0.8
-REGISTERS = 64
-BAND = 4  # registers a band: at similarity 0.8 a pair misses all 16 bands with probability 2e-4
-LEAST_AGREE = 36  # of 64: at similarity 0.8 a pair agrees in fewer with probability below 1e-5
+REGISTERS = 63
+BAND = 3  # registers a band: at similarity 0.8 a pair misses all 21 bands with probability 3e-7
+LEAST_AGREE = 32  # at similarity 0.8 a pair agrees in fewer of 63 registers with probability 5e-8
 CHUNK = 1024
 
 
@@ -99,10 +99,15 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
+def text_key(text: Column | str) -> Column:
+    """Tells texts apart: equal for equal texts only."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def _sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, tag: str) -> DataFrame:
-    """(id, s): the sorted shingle hashes of the text of each class in `ids`."""
-    want = ids.join(classes.select("id", "rep"), "id")
-    texts = docs.join(want, [F.col("_doc").eqNullSafe(F.col("rep")), F.col("_hash") == F.col("id")]).select("id", "_text")
+    """(id, x): the sorted shingle hashes of the text of each class in `ids`."""
+    want = ids.join(classes.select("id", "rep", "_key"), "id")
+    texts = docs.join(want, [docs["_doc"].eqNullSafe(F.col("rep")), docs["_key"] == want["_key"]]).select("id", "_text")
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(it, column="_text"):
@@ -113,25 +118,35 @@ def _sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, tag: str) -> Data
             keep = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])] if len(row) else np.zeros(0, bool)
             row, h = row[keep], h[keep]
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["id", "x"])
 
-    found = texts.mapInArrow(sets, "id long, s binary")
-    return materialize(found.groupBy("id").agg(F.first("s").alias("s")), f"{tag}-sets")
+    found = texts.mapInArrow(sets, "id long, x binary")
+    return materialize(found.groupBy("id").agg(F.first("x").alias("x")), f"{tag}-sets")
 
 
-def _verified(edges: DataFrame, docs: DataFrame, classes: DataFrame, threshold: float, tag: str) -> DataFrame:
-    """The edges (a, b: classes) whose texts' shingle sets have a Jaccard similarity of at least `threshold`."""
-    edges = materialize(edges, f"{tag}-candidates")
-    ids = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-    sets = _sets(ids, docs, classes, tag)
-    pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+def _held(edges: DataFrame, data: DataFrame, alike: Callable[[bytes, bytes], bool], tag: str) -> DataFrame:
+    """The edges (a, b) whose ends' data (id, x binary) are alike. A hub a is met by its neighbours in chunks, each chunk
+    with one copy of the hub's data; a neighbour's data are sent once for each of its hubs."""
+    hubs = materialize(edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), f"{tag}-hubs")
+    salt = F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("salt")
+    ends = edges.join(hubs, "a").select("a", salt, "b")
+    one = hubs.join(data.withColumnRenamed("id", "a").hint("merge"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "x")
+    many = ends.join(data.withColumnRenamed("id", "b").hint("merge"), "b").select("a", "salt", "b", "x")
+    dealt = one.unionByName(many).repartition(shuffle_parts(edges), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def hold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, b""
         for batch in it:
-            ok = [jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= threshold for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (a, b, x) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x")), strict=True)):
+                if b is None:
+                    hub, own = a, x
+                else:
+                    assert a == hub
+                    keep[i] = alike(own, x)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return materialize(pairs.select("a", "b", "sa", "sb").mapInArrow(hold, "a long, b long"), f"{tag}-links")
+    return materialize(dealt.select("a", "b", "x").mapInArrow(hold, "a long, b long"), tag)
 
 
 def links_between(ids: np.ndarray, comp: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: int, threshold: float) -> list[tuple[int, int]]:
@@ -172,7 +187,7 @@ def _cross(members: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataF
     rows = materialize(rows.select("band", "key", "id", "component", "chunks"), f"{tag}-mixed")
     if rows.isEmpty():
         return rows.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    sets = _sets(rows.select("id").distinct(), docs, classes, f"{tag}-mixed")
+    sets = _sets(rows.select("id").distinct(), docs, classes, f"{tag}-mixed").withColumnRenamed("x", "s")
     rows = rows.join(classes.select("id", "sig").join(sets, "id"), "id")
     mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -210,7 +225,7 @@ def _cross(members: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataF
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tag: str = "minhash") -> DataFrame:
-    """(doc_id, class_id, kept, text_hash) for every row of docs (doc_id, text): class_id is the smallest doc_id of its group.
+    """(doc_id, class_id, kept, text_key) for every row of docs (doc_id, text): class_id is the smallest doc_id of its group.
 
     Groups are the components of links between texts whose sets of five-word shingles have a Jaccard similarity of at
     least `threshold`; equal texts with words are linked. A text of one to four words is one shingle. Texts without
@@ -219,7 +234,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tag: str = "m
     table gives no rows.
     """
     base = docs.select(F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"))
-    base = base.withColumn("_hash", F.xxhash64("_text"))
+    base = base.withColumn("_key", text_key("_text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(it, column="_text"):
@@ -227,50 +242,47 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tag: str = "m
             band = mix64(np.cumsum(mix64(sig.reshape(len(sig), -1, BAND) + np.arange(BAND, dtype=np.uint64)), 2, dtype=np.uint64)[:, :, -1]).astype(np.int64)
             small = mix64(sig).astype(np.uint32)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * band.shape[1], pa.int32()), pa.array(band.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("_hash"), pa.array(has), bands, pa.array([s.tobytes() for s in small], pa.binary())], names=["_doc", "_hash", "has", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("_key"), pa.array(has), bands, pa.array([s.tobytes() for s in small], pa.binary())], names=["_doc", "_key", "has", "bands", "sig"])
 
-    signed = materialize(base.select("_doc", "_text", "_hash").mapInArrow(run, "_doc long, _hash long, has boolean, bands array<long>, sig binary"), f"{tag}-signed")
-    classes = signed.filter("has").groupBy(F.col("_hash").alias("id")).agg(F.min("_doc").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = materialize(classes, f"{tag}-classes")
+    signed = materialize(base.select("_doc", "_text", "_key").mapInArrow(run, "_doc long, _key binary, has boolean, bands array<long>, sig binary"), f"{tag}-signed")
+    classes = signed.filter("has").groupBy("_key").agg(F.min("_doc").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("_n"))
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), f"{tag}-classes")
     banded = classes.select("id", F.posexplode("bands").alias("band", "key"))
     hubs = banded.groupBy("band", "key").agg(F.min("id").alias("hub"), F.max("id").alias("_top")).filter("hub <> _top").drop("_top")
     members = materialize(banded.join(hubs, ["band", "key"]), f"{tag}-members")
-    star = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    sigs = classes.select("id", "sig")
-    near = star.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-
-    def alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= LEAST_AGREE))
-
-    links = _verified(near.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"), base, classes, threshold, tag)
+    star = materialize(members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), f"{tag}-star")
+    agree = lambda x, y: int((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum()) >= LEAST_AGREE
+    near = _held(star, classes.select("id", F.col("sig").alias("x")), agree, f"{tag}-near")
+    ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+    alike = lambda x, y: jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= threshold
+    links = _held(near, _sets(ids, base, classes, tag), alike, f"{tag}-links")
     parts = components(links, tag)
     more = _cross(members, parts, classes, base, LEAST_AGREE, threshold, tag)
     if not more.isEmpty():
         parts = components(links.unionByName(more), tag)
-    named = classes.select("id", "rep").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = classes.select("id", "_key", "rep").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     low = named.groupBy("component").agg(F.min("rep").alias("low"))
-    named = materialize(named.join(low, "component").select(F.col("id").alias("_hash"), "low"), f"{tag}-named")
-    out = signed.select("_doc", "_hash", "has").join(named, "_hash", "left")
+    named = materialize(named.join(low, "component").select("_key", "low"), f"{tag}-named")
+    out = spread_join(signed.select("_doc", "_key", "has"), named, "_key", classes.select("_key", "_n"))
     cls = F.when(F.col("has"), F.col("low")).otherwise(F.col("_doc"))
-    return out.select(F.col("_doc").alias("doc_id"), cls.alias("class_id"), F.col("_doc").eqNullSafe(cls).alias("kept"), F.col("_hash").alias("text_hash"))
+    return out.select(F.col("_doc").alias("doc_id"), cls.alias("class_id"), F.col("_doc").eqNullSafe(cls).alias("kept"), F.col("_key").alias("text_key"))
 
 
 def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each group of near-duplicates: the rows of docs with the group's smallest doc_id, all columns.
 
-    Rows that repeat both doc_id and text stay once; rows of one kept doc_id with other texts all stay.
+    Rows that repeat both doc_id and text stay once; rows of one kept doc_id with other texts all stay. Texts without
+    words, null ones too, are near nothing and stay; an empty table gives no rows.
     """
-    kept = near_duplicates(docs, threshold).filter("kept").select(F.struct("doc_id", "text_hash").alias("_key")).distinct()
-    key = F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), key.alias("_key")).join(kept, "_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
-    return rows.withColumn("_n", first).filter("_n = 1").select("_row.*")
+    kept = near_duplicates(docs, threshold).filter("kept").select(F.struct("doc_id", "text_key").alias("_key")).distinct()
+    kept = materialize(kept, "minhash-kept")
+    key = F.struct("doc_id", text_key(F.coalesce("text", F.lit(""))).alias("text_key"))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), key.alias("_key"))
+    return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 ORACLE = r"""

@@ -512,6 +512,40 @@ def test_groups_of_copies_that_repeat_a_passage(spark):
     assert got == want
 
 
+def test_chances_of_a_miss():
+    """What the docstring states: independent registers that agree with probability 0.8."""
+    from math import comb
+
+    m = minhash.REGISTERS
+    assert (1 - 0.8**minhash.BAND) ** (m // minhash.BAND) < 3e-7 and m % minhash.BAND == 0
+    assert sum(comb(m, k) * 0.8**k * 0.2 ** (m - k) for k in range(minhash.LEAST_AGREE)) < 5.1e-8
+
+
+def test_uneven_repeats_are_found(spark):
+    """300 pairs of similarity 0.8 to 1 where one text repeats parts of itself."""
+    rng, rows = random.Random(11), []
+    for seed in range(300):
+        base = sentence(1000 + seed, 120).split()
+        k = rng.randint(10, 110)
+        other = base + base[:k] * rng.randint(1, 12)
+        for _ in range(rng.randint(0, 2)):
+            other[rng.randrange(len(other))] = f"y{seed}"
+        rows += [(2 * seed, " ".join(base)), (2 * seed + 1, " ".join(other))]
+    sets = [shingle_set(t) for _, t in rows]
+    want = {i + 1 for i in range(0, 600, 2) if len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8}
+    got = {r["doc_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect() if not r["kept"]}
+    assert len(want) > 200 and got == want
+
+
+def test_hot_texts_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    near = sentence(7, 100)
+    rows = [(i, "the same old text of six words") for i in range(40)] + [(100 + i, near + f" t{i}") for i in range(30)] + [(None, "")]
+    want = brute_groups([(10**6 if d is None else d, t) for d, t in rows])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in got if r["doc_id"] is not None) == sorted((d, want[i]) for i, (d, _) in enumerate(rows) if d is not None)
+
+
 def test_links_between_join_all_components():
     sets = [np.sort(common.mix64(np.array([hash(s) & (2**63 - 1) for s in shingle_set(t)], np.uint64))) for t in copies(7, 12, 1) + copies(8, 12, 4)]
     n = len(sets)
