@@ -26,11 +26,16 @@ ORACLES: dict[str, str] = {
     "op4_subspace": subspace.ORACLE,
     "op7_suffix_dedup": suffix_dedup.ORACLE,
     "op9_minhash": minhash.ORACLE,
-    "op8_warc": """
-        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-             q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
-             r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f FROM q)
-        SELECT page_id, payload_bytes, payload_digest,
+    "op8_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(coalesce(url, 'urn:none'), '[\x00-\x20]', '', 'g') AS url FROM pages),
+             q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest, url,
+                          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)(\?[^#]+)?', ['host', 'path', 'query']) AS u FROM p),
+             h AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(u.host), '^.*@', ''), ':[0-9]*$', ''), '^www\.', '') AS host FROM q),
+             k AS (SELECT *, CASE WHEN host = '' THEN lower(url)
+                          ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || lower(CASE WHEN u.path = '' THEN '/' ELSE u.path END || u.query) END AS url_key FROM h),
+             r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f,
+                          row_number() OVER (ORDER BY url_key, ((page_id % 2147483648) + 2147483648) % 2147483648, page_id) - 1 AS index_position FROM k)
+        SELECT page_id, payload_bytes, payload_digest, url_key, index_position,
                CASE WHEN payload_bytes >= 100 AND f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND f <> page_id THEN f END AS refers_to
         FROM r""",

@@ -85,6 +85,57 @@ def test_edits_equal_a_full_count(counter):
             assert tree.text == want and tree.total == counter.whole(want) and tree.chars[1] == len(want)
 
 
+@pytest.mark.parametrize("dense", [0, 48])
+def test_many_edits_at_once_equal_a_full_count(counter, monkeypatch, dense):
+    monkeypatch.setattr(tokencount, "DENSE", dense)
+    rng = random.Random(3)
+    bits = [" ", "  ", "\n", "\n\n ", "'re", "'", "'l", "a", "bc", "é", "12", "3", "!", "?!", "\t", " the", "日本"]
+    for k in range(600):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 40 if k % 3 else 400)))
+        tree = tokencount.TokenTree(text, counter)
+        for _ in range(3):
+            cuts = sorted(rng.randint(0, len(tree.text)) for _ in range(2 * rng.randint(1, 6)))
+            if k % 2:
+                cuts = [min(c, cuts[i & ~1] + 3) for i, c in enumerate(cuts)]
+            edits = [(a, b, "".join(rng.choice(bits) for _ in range(rng.randint(0, 3)))) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+            want, at = "", 0
+            for a, b, new in edits:
+                want += tree.text[at:a] + new
+                at = b
+            want += tree.text[at:]
+            tree.apply(edits)
+            assert tree.text == want and tree.total == counter.whole(want) and tree.chars[1] == len(want)
+            tree = tokencount.TokenTree(tree.text, counter, tree.kept())
+
+
+def test_many_edits_cost_less_than_a_recount(counter):
+    """An edit each 200 characters: under a recount; an edit each 15 characters, where no leaf stays: a few recounts."""
+    import time
+
+    text = sentence(6, 120_000)
+    for step, most in ((200, 1.5), (15, 6)):
+        tree = tokencount.TokenTree(text, counter)
+        began = time.process_time()
+        tree.apply([(a, a + 3, "x y") for a in range(100, len(text) - 10, step)])
+        took = time.process_time() - began
+        began = time.process_time()
+        assert tree.total == counter.whole(tree.text)
+        assert took < most * (time.process_time() - began), step
+
+
+def test_kept_trees_encode_edited_regions_only(spark, odd, none, counter):
+    import public_tokenizers
+
+    args = public_tokenizers.path(tokencount.VOCABULARY), public_tokenizers.PATTERN
+    trees = common.materialize(tokencount.token_trees(odd, *args), "trees")
+    once = common.materialize(tokencount.edited_trees(trees, *args, edits=lambda t: [(len(t) // 2, len(t) // 2 + 1, "QQ")] if len(t) > 300 else []), "trees")
+    twice = tokencount.edited_trees(once, *args, edits=lambda t: [(3, 4, "!")] if len(t) > 300 else []).collect()
+    assert len(twice) == odd.count() and any(r["n_edits"] for r in twice)
+    for r in twice:
+        assert r["edited_tokens"] == counter.whole(r["text"] or "") and r["reencoded"] <= 12 * r["n_edits"]
+    assert tokencount.token_trees(none, *args).count() == 0 and tokencount.edited_trees(trees.filter("false"), *args).count() == 0
+
+
 def test_edits_touch_little(counter):
     text = sentence(1, 5000)
     tree = tokencount.TokenTree(text, counter)

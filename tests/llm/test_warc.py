@@ -1,10 +1,11 @@
 import gzip
+import hashlib
 import random
 from collections import Counter
 
 import pytest
 
-from readprep.llm import warc
+from readprep.llm import common, warc
 
 SCHEMA = "page_id long, url string, html string, size long, record_type string"
 
@@ -23,18 +24,57 @@ def test_round_trip(pages, tmp_path):
     assert Counter((r["page_id"], r["payload_bytes"]) for r in got) == Counter((r["page_id"], len((r["html"] or "").encode())) for r in source)
     kind = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in got}
     assert kind[2] == ("revisit", 1) and kind[3] == ("revisit", 1) and kind[1] == kind[None] == kind[6] == kind[7] == kind[5] == ("response", None)
-    order = sorted(got, key=lambda r: (r["range_id"], r["ordinal"]))
-    keys = [(r["url_key"], r["timestamp"], -1 if r["page_id"] is None else r["page_id"]) for r in order]
+    order = sorted(got, key=lambda r: r["index_position"])
+    assert [r["index_position"] for r in order] == list(range(len(order)))
+    keys = [(r["url_key"], r["timestamp"], -(1 << 63) if r["page_id"] is None else r["page_id"], r["archive"], r["position"]) for r in order]
     assert keys == sorted(keys)
     # the files are archives of their own
-    for f in (tmp_path / "a").glob("*.gz"):
+    for f in (tmp_path / "a").glob("part-*"):
         for h, block, _ in warc.parse(gzip.open(f).read()):
             assert len(block) == int(h["content-length"]) and (h["warc-type"] == "response") == ("warc-refers-to" not in h)
+    # an index entry leads to its record alone
+    for r in got:
+        with open(r["archive"].removeprefix("file:").replace("///", "/"), "rb") as f:
+            f.seek(r["position"])
+            (h, block, _), = warc.parse(gzip.decompress(f.read(r["size"])))
+        assert warc._page(h["warc-record-id"]) == r["page_id"] and (r["record_type"] == "revisit" or hashlib.sha256(block).hexdigest() == r["payload_digest"])
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    """Records of very different sizes, one very long; ranges are merged from many runs."""
+    rng = random.Random(2)
+    rows = [(i, f"http://h{i % 7}.org/{rng.randint(0, 50)}", "".join(chr(rng.randint(33, 1000)) for _ in range(rng.choice([10, 300, 2000])))) for i in range(300)]
+    rows.append((300, "http://h1.org/long", "".join(map(str, range(300_000)))))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    path = f"file://{tmp_path}/b"
+    warc.write(warc.records(pages), path, 20_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "b").glob("part-*")]
+    assert len(sizes) > 10 and sorted(sizes)[-2] < 30_000
+    for ranges in (1, 5):
+        got = sorted(warc.merge(warc.read(spark, path), ranges).collect(), key=lambda r: r["index_position"])
+        assert [(r["url_key"], r["timestamp"], r["page_id"]) for r in got] == sorted((warc.url_key(u), r, i) for i, u, r in ((i, u, {g["page_id"]: g["timestamp"] for g in got}[i]) for i, u, _ in rows))
+        assert {r["page_id"]: r["payload_bytes"] for r in got} == {i: len(t.encode()) for i, _, t in rows}
+
+
+def test_hot_payloads_and_urls(spark, tmp_path, monkeypatch):
+    """One payload, one URL and null page_ids of most rows: dealt out, and still one order."""
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    monkeypatch.setattr(warc, "RANGE", 10)
+    rows = [(None if i % 3 == 0 else i, "http://a.org/", "y" * 150 if i % 2 else "") for i in range(90)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = warc.archive(pages, f"file://{tmp_path}/h").collect()
+    assert sorted(r["index_position"] for r in got) == list(range(90))
+    assert Counter((r["record_type"], r["refers_to"]) for r in got if r["page_id"] is not None and r["payload_bytes"]) == {("response", None): 1, ("revisit", 1): 29}
+    assert all(r["record_type"] == "response" for r in got if not r["payload_bytes"])
 
 
 def test_broken_archives():
     ok = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
     assert [(b, at) for _, b, at in warc.parse(ok * 2)] == [(b"ab", 0), (b"ab", len(ok))]
+    data = warc.member(ok) + warc.member(b"") + warc.member(ok)
+    assert [m[0] for m in warc.members(data)] == [ok, ok] and [gzip.decompress(data[at : at + n]) for _, at, n in warc.members(data)] == [ok, ok]
+    with pytest.raises(ValueError, match="no end"):
+        list(warc.members(data[:-3]))
     for bad in (ok[:-2], b"x" + ok, ok.replace(b": 2", b": 3")):
         with pytest.raises(ValueError, match="byte"):
             list(warc.parse(bad))
