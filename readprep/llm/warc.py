@@ -22,6 +22,7 @@ from .common import materialize, new_path, shuffle_parts, spread_join, table
 
 LEAST_PAYLOAD = 100
 FILE_BYTES = 32 << 20
+FEED = 4096
 RANGE = 100_000  # captures
 EPOCH = 1_577_836_800  # 2020-01-01: pages carry no time, so capture k is dated k seconds later
 CRLF = "\r\n"
@@ -90,12 +91,14 @@ def members(data: bytes) -> Iterator[tuple[bytes, int, int]]:
     """(content, offset, size) of each gzip member that isn't empty."""
     view, at = memoryview(data), 0
     while at < len(view):
-        z = zlib.decompressobj(31)
-        content = z.decompress(view[at:])
-        if not z.eof:
-            raise ValueError(f"the gzip member at byte {at} has no end")
-        size = len(view) - at - len(z.unused_data)
-        if content:
+        z, parts, upto = zlib.decompressobj(31), [], at
+        while not z.eof:  # bit by bit, as what lies beyond the member's end is copied
+            if upto >= len(view):
+                raise ValueError(f"the gzip member at byte {at} has no end")
+            parts.append(z.decompress(view[upto : upto + FEED]))
+            upto = min(upto + FEED, len(view))
+        size = upto - at - len(z.unused_data)
+        if content := b"".join(parts):
             yield content, at, size
         at += size
 
