@@ -1,22 +1,28 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | context) = P(class | context) * P(token | class). The class of a token is a hash of its last two bytes. The
-class model is log-linear in hashed features of the context: the word before, the words two and three before (skips),
-and the classes of the two before. It is trained by distributed gradient updates: in each round every task takes
-gradient steps over minibatches of its share of the training texts from the common weights, and the steps are averaged
-over tasks, feature by feature, by how often a task met the feature. P(token | class) follows smoothed counts over all
-training tokens. Sums over tasks are of integers, so reruns agree.
-
-Counts are exact. Words of at least 1 in FREQUENT training tokens are at most FREQUENT many and are broadcast with
-their counts; the others meet theirs in a join by word.
+P(token | context) = P(class | context) * P(slot | class, context) * P(token | class, slot). The class of a token is a
+hash of its last two bytes. In a class, the most frequent tokens have slots of their own, all others share a few by hash.
+Classes and slots are log-linear in hashed features of the context: the word before, the two words before as one, and
+the words two and three before (skips); for slots the first two of these, each with the class. Only tokens that share a
+slot are told apart by smoothed counts, whatever the context.
+
+Training takes two distributed rounds over all training texts. The first counts features with classes and slots, which
+starts the weights. The second sums the expectations under these weights, and with them the gradient, and takes one step
+scaled by its curvature. All that tasks add up are integers, so scores don't depend on splits, order or reruns.
+
+Feature rows grow with the vocabulary, from 2^14 to MAX_ROWS, which bounds what is broadcast. Counts of words are exact.
+Words of at least 1 in FREQUENT training tokens are at most FREQUENT many and are broadcast with their counts; the
+others meet theirs in a join by word.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,14 +30,18 @@ from pyspark.sql import types as T
 from .common import batches_of, materialize, mix64, shuffle_parts, table, text_bytes, words_of
 from .quality import remainder
 
-CLASSES = 64
-ROWS = 1 << 14
-ROUNDS = 2
-BATCH = 2048
-RATE = 0.15
+CLASSES = 32
+SLOTS = 32
+OWN = 24  # slots of a class that hold one token each
+MAX_ROWS = 1 << 17
+BATCH = 8192
+START = 0.5  # share of the counts' log odds in the first weights: features overlap
+PRIOR = 30.0
+STEP = 0.5
+LIMIT = 10.0  # of a weight, so that exponentials of sums of four stay finite
 FREQUENT = 1 << 21
-SCALE = float(1 << 20)
-BLOCK_ROWS = 512
+SCALE = float(1 << 16)
+BLOCK_ROWS = 1024
 FAN = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -55,47 +65,107 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(row: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The feature rows of each token: previous word, skips over one and two words, the two classes before."""
-    n = len(ids)
-    back = []
+    """The context of each token: the word before, the two before as one, the words two and three before."""
+    n, back = len(ids), []
     for k in (1, 2, 3):
         p = np.full(n, _START)
         p[k:] = np.where(row[k:] == row[:-k], ids[:-k], _START) if n > k else p[k:]
         back.append(p)
-    classes = (back[0] & _MASK) * np.uint64(CLASSES) + (back[1] & _MASK) + (back[0] == _START).astype(np.uint64) * np.uint64(1 << 20)
-    keys = [*back, classes]
-    return np.stack([(mix64(x * np.uint64(2 * k + 3) + np.uint64(k)) % np.uint64(ROWS)).astype(np.int32) for k, x in enumerate(keys)])
+    return np.stack([back[0], mix64(back[0] * np.uint64(3) + np.uint64(1)) ^ back[1], back[1], back[2]])
 
 
-def _logits(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = weights[f[0]]
-    for k in range(1, len(f)):
-        z += weights[f[k]]
-    z += bias
-    z -= z.max(1, keepdims=True)
-    return z
+def class_rows(ctx: np.ndarray, rows: int) -> list[np.ndarray]:
+    """The feature rows of each token's class."""
+    return [(mix64(x * np.uint64(2 * k + 3) + np.uint64(k)) & np.uint64(rows - 1)).astype(np.int64) for k, x in enumerate(ctx)]
+
+
+def slot_rows(ctx: np.ndarray, cls: np.ndarray, rows: int) -> list[np.ndarray]:
+    """The feature rows of each token's slot, given its class."""
+    with_class = mix64(cls.astype(np.uint64) + np.uint64(9))
+    return [(mix64((x ^ with_class) * np.uint64(2 * k + 5) + np.uint64(k)) & np.uint64(rows - 1)).astype(np.int64) for k, x in enumerate(ctx[:2])]
+
 
+class Heads:
+    """The tokens with slots of their own: by class, the most frequent (ties to smaller ids) of the given ones."""
 
-def log_probabilities(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Natural log P(class | context), a row for each token."""
-    z = _logits(weights, bias, f)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+    def __init__(self, ids: np.ndarray, c: np.ndarray):
+        cls = (ids & _MASK).astype(np.int64)
+        order = np.lexsort((ids, -c, cls))
+        rank = np.arange(len(order)) - np.searchsorted(cls[order], cls[order])
+        top, slot = order[rank < OWN], rank[rank < OWN]
+        by = np.argsort(ids[top])
+        self.ids, self.slot = ids[top][by], slot[by]
+
+    def slots(self, ids: np.ndarray) -> np.ndarray:
+        shared = OWN + (mix64(ids ^ np.uint64(77)) % np.uint64(SLOTS - OWN)).astype(np.int64)
+        if not len(self.ids):
+            return shared
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return np.where(self.ids[at] == ids, self.slot[at], shared)
+
+
+def exponentials(weights: np.ndarray, bias: np.ndarray, f: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the logits, a row for each token, and their sums."""
+    z = weights.take(f[0], 0)
+    for x in f[1:]:
+        z += weights.take(x, 0)
+    z += bias
+    np.exp(z, z)
+    return z, z.sum(1)
 
 
-def descend(weights: np.ndarray, bias: np.ndarray, f: np.ndarray, cls: np.ndarray, squares: np.ndarray) -> None:
-    """One minibatch of gradient steps, scaled by the root of each feature's squared gradients so far; in place."""
-    g = _logits(weights, bias, f)
-    np.exp(g, g)
-    g *= -1 / g.sum(1, keepdims=True)
-    g[np.arange(len(cls)), cls] += 1
+def expect(out: np.ndarray, weights: np.ndarray, bias: np.ndarray, f: list[np.ndarray]) -> None:
+    """Add each token's distribution, in units of 1 / SCALE, to its feature rows."""
+    z, total = exponentials(weights, bias, f)
+    z *= (np.float32(SCALE) / total)[:, None]
+    q, place = np.rint(z, z).astype(np.int32), np.arange(len(z))
     for own in f:
-        order = np.argsort(own.astype(np.int16), kind="stable")  # sorted by digits
-        at = own[order]
+        key = np.sort((own << 32) | place)
+        at, order = key >> 32, key & 0xFFFFFFFF
         cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        sums, rows = np.add.reduceat(g[order], cut, 0), at[cut]
-        squares[rows] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
-        weights[rows] += RATE * sums / np.sqrt(squares[rows] + 1)[:, None]
+        out[at[cut]] += np.add.reduceat(q.take(order, 0), cut, 0)
+
+
+def first_weights(n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """From counts n of a feature row with each outcome, and the outcomes' shares p."""
+    n = n.astype(np.float32)
+    w = np.log((n + PRIOR * p) / (n.sum(1, keepdims=True) + PRIOR)) - np.log(p)
+    return np.clip(START * w, -LIMIT, LIMIT).astype(np.float32)
+
+
+def step(weights: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The weights after a step along the gradient n - m / SCALE, scaled by the curvature of the expectations m."""
+    m = m.astype(np.float64) / SCALE
+    total = np.maximum(n.sum(1, keepdims=True), 1)
+    by = np.clip(STEP * (n - m) / (np.maximum(m * (1 - m / total), 0) + PRIOR), -1.5, 1.5)
+    return np.clip(weights + by, -LIMIT, LIMIT).astype(np.float32)
+
+
+@dataclass
+class Model:
+    heads: Heads
+    rows: int
+    class_bias: np.ndarray
+    slot_bias: np.ndarray  # a row for each class
+    class_weights: np.ndarray | None = None
+    slot_weights: np.ndarray | None = None
+
+    def places(self, row: np.ndarray, ids: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+        """(which tokens, class, slot, class rows, slot rows), BATCH tokens at a time."""
+        ctx, cls, slot = contexts(row, ids), (ids & _MASK).astype(np.int64), self.heads.slots(ids)
+        for at in range(0, len(ids), BATCH):
+            p = slice(at, at + BATCH)
+            yield p, cls[p], slot[p], class_rows(ctx[:, p], self.rows), slot_rows(ctx[:, p], cls[p], self.rows)
+
+    def log_probabilities(self, row: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """log10 P(class, slot | context) of each token."""
+        out = np.empty(len(ids))
+        for p, cls, slot, f, g in self.places(row, ids):
+            for first, (w, bias, x, y) in enumerate(((self.class_weights, self.class_bias, f, cls), (self.slot_weights, self.slot_bias[cls], g, slot))):
+                z, total = exponentials(w, bias, x)
+                value = np.log10(z[np.arange(len(y)), y].astype(np.float64) / total)
+                out[p] = value if not first else out[p] + value
+        return out
 
 
 def _count(docs: DataFrame, tag: str) -> DataFrame:
@@ -120,88 +190,133 @@ def _count(docs: DataFrame, tag: str) -> DataFrame:
     return materialize(docs.select("text").mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")), tag)
 
 
-def train(docs: DataFrame, bias: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """The weights after `rounds` updates; each training text (doc_id, text) takes part in one of them."""
+def _summed(docs: DataFrame, model: Model, add: Callable[[Model, np.ndarray, np.ndarray, list[np.ndarray]], None]) -> list[np.ndarray]:
+    """What `add` adds up over all texts, in tables of (model.rows, CLASSES) and (model.rows, SLOTS) integers."""
     spark = docs.sparkSession
-    weights = np.zeros((ROWS, CLASSES), np.float32)
-    for k in range(rounds):
-        shared = spark.sparkContext.broadcast(weights)
-
-        def steps(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            start = shared.value
-            w, squares, met = start.copy(), np.zeros(ROWS, np.float32), np.zeros(ROWS, np.int64)
-            for batch in batches_of(it):
-                row, ids = tokens(batch.column("text"))
-                f, cls = contexts(row, ids), (ids & _MASK).astype(np.int64)
-                for at in range(0, len(cls), BATCH):
-                    part = f[:, at : at + BATCH]
-                    descend(w, bias, part, cls[at : at + BATCH], squares)
-                met += np.bincount(f.ravel(), minlength=ROWS)
-            if not met.any():
-                return
-            step = np.rint((w - start).astype(np.float64) * met[:, None] * SCALE).astype(np.int64)
-            blocks = [(b, step[b : b + BLOCK_ROWS].tobytes(), met[b : b + BLOCK_ROWS].tobytes()) for b in range(0, ROWS, BLOCK_ROWS)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blocks, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "step", "met"])
-
-        def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[tuple[int, int], list[np.ndarray]] = {}
-            for batch in it:
-                for b, salt, step, met in zip(*[batch.column(c).to_pylist() for c in ("block", "salt", "step", "met")], strict=True):
-                    new = [np.frombuffer(step, np.int64), np.frombuffer(met, np.int64)]
-                    key = (b, salt)
-                    sums[key] = [x + y for x, y in zip(sums[key], new, strict=True)] if key in sums else new
-            cols = [pa.array([b for b, _ in sums], pa.int32()), *[pa.array([x[i].tobytes() for x in sums.values()], pa.binary()) for i in (0, 1)]]
-            yield pa.RecordBatch.from_arrays(cols, names=["block", "step", "met"])
-
-        kind = "block int, step binary, met binary"
-        mine = docs.filter(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(rounds)) == k)
-        summed, left, blocks = mine.select("text").mapInArrow(steps, kind), mine.rdd.getNumPartitions(), ROWS // BLOCK_ROWS
-        while left > 1:  # a tree: a task adds about FAN steps of a block, however many tasks took some
-            left = -(-left // FAN)
-            salted = summed.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(left)))
-            summed = salted.repartition(min(blocks * left, max(blocks, shuffle_parts(docs))), "block", "salt").mapInArrow(add, kind)
-        weights = weights.copy()
-        for r in summed.collect():  # ROWS x CLASSES numbers in all
-            met = np.frombuffer(r["met"], np.int64)
-            step = np.frombuffer(r["step"], np.int64).reshape(-1, CLASSES)
-            weights[r["block"] : r["block"] + BLOCK_ROWS] += (step / SCALE / np.maximum(met, 1)[:, None]).astype(np.float32)
-        shared.unpersist()
-    return weights
-
-
-def score(docs: DataFrame, folds: int = 5, out_fold: int = 1, tag: str = "lm") -> DataFrame:
+    shared, widths = spark.sparkContext.broadcast(model), (CLASSES, SLOTS)
+
+    def own(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, tables = shared.value, [np.zeros((shared.value.rows, w), np.int64) for w in widths]
+        for batch in batches_of(it):
+            add(model, *tokens(batch.column("text")), tables)
+        z = zstandard.ZstdCompressor(level=1)
+        for k, t in enumerate(tables):
+            blocks = [(k, b, t[b : b + BLOCK_ROWS]) for b in range(0, len(t), BLOCK_ROWS)]
+            yield packed([(k, b, z.compress(x.tobytes())) for k, b, x in blocks if x.any()])
+
+    def packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["kind", "block", "sums"])
+
+    def join(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        unpack, z = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        for batch in it:
+            for kind, block, x in zip(*[batch.column(c).to_pylist() for c in ("kind", "block", "sums")], strict=True):
+                new = np.frombuffer(unpack.decompress(x), np.int64)
+                if (kind, block) in sums:
+                    sums[kind, block] += new
+                else:
+                    sums[kind, block] = new.copy()
+        yield packed([(*key, z.compress(x.tobytes())) for key, x in sums.items()])
+
+    kind = "kind int, block int, sums binary"
+    left, blocks = docs.rdd.getNumPartitions(), 2 * (model.rows // BLOCK_ROWS)
+    summed = docs.select("text").mapInArrow(own, kind)
+    while left > 1:  # a tree: a task adds about FAN blocks of a place, however many tasks made some
+        left = -(-left // FAN)
+        salted = summed.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(left)))
+        summed = salted.repartition(min(blocks * left, max(blocks, shuffle_parts(docs))), "kind", "block", "salt").drop("salt").mapInArrow(join, kind)
+    out, unpack = [np.zeros((model.rows, w), np.int64) for w in widths], zstandard.ZstdDecompressor()
+    for r in summed.toLocalIterator():  # the tables' size in all
+        x = np.frombuffer(unpack.decompress(r["sums"]), np.int64).reshape(-1, widths[r["kind"]])
+        out[r["kind"]][r["block"] : r["block"] + len(x)] += x
+    shared.unpersist()
+    return out
+
+
+def count_features(model: Model, row: np.ndarray, ids: np.ndarray, tables: list[np.ndarray]) -> None:
+    """How often each feature row occurs with each class, and with each slot."""
+    for _, cls, slot, f, g in model.places(row, ids):
+        for x in f:
+            np.add.at(tables[0].reshape(-1), x * CLASSES + cls, 1)
+        for x in g:
+            np.add.at(tables[1].reshape(-1), x * SLOTS + slot, 1)
+
+
+def expect_features(model: Model, row: np.ndarray, ids: np.ndarray, tables: list[np.ndarray]) -> None:
+    """What the model expects of the same."""
+    for _, cls, _, f, g in model.places(row, ids):
+        expect(tables[0], model.class_weights, model.class_bias, f)
+        expect(tables[1], model.slot_weights, model.slot_bias[cls], g)
+
+
+def rows_for(distinct: int) -> int:
+    """Feature rows by the number of distinct training tokens: a quarter of it, from 2^14 to MAX_ROWS, a power of two."""
+    return max(1 << 14, min(MAX_ROWS, 1 << max(0, distinct // 4).bit_length()))
+
+
+def train(docs: DataFrame, heads: Heads, leaves: np.ndarray, rows: int) -> Model:
+    """The model after both rounds over the texts of docs; leaves: training tokens by (class, slot)."""
+    by_class = leaves.sum(1)
+    class_bias = np.log((by_class + 1) / (by_class.sum() + CLASSES)).astype(np.float32)
+    slot_bias = np.log((leaves + 0.5) / (by_class[:, None] + 0.5 * SLOTS)).astype(np.float32)
+    model = Model(heads, rows, class_bias, slot_bias)
+    counts = _summed(docs, model, count_features)
+    slots = (leaves.sum(0) + 1) / (leaves.sum() + SLOTS)
+    model.class_weights, model.slot_weights = first_weights(counts[0], np.exp(class_bias)), first_weights(counts[1], slots.astype(np.float32))
+    expected = _summed(docs, model, expect_features)
+    model.class_weights, model.slot_weights = step(model.class_weights, counts[0], expected[0]), step(model.slot_weights, counts[1], expected[1])
+    return model
+
+
+def _leaves(counts: DataFrame, heads: Heads) -> tuple[np.ndarray, np.ndarray]:
+    """Training tokens, and distinct ones, by (class, slot)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, size = np.zeros(CLASSES * SLOTS, np.int64), np.zeros(CLASSES * SLOTS, np.int64)
+        for batch in it:
+            ids = np.asarray(batch.column("id"), np.int64).view(np.uint64)
+            leaf = (ids & _MASK).astype(np.int64) * SLOTS + heads.slots(ids)
+            np.add.at(n, leaf, np.asarray(batch.column("c")))
+            size += np.bincount(leaf, minlength=len(size))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n), pa.array(size)], names=["leaf", "n", "size"])
+
+    out = np.zeros((2, CLASSES * SLOTS), np.int64)
+    for r in counts.mapInArrow(run, "leaf long, n long, size long").groupBy("leaf").agg(F.sum("n"), F.sum("size")).collect():  # CLASSES * SLOTS rows
+        out[:, r[0]] = r[1], r[2]
+    return out[0].reshape(CLASSES, SLOTS), out[1].reshape(CLASSES, SLOTS)
+
+
+def score(docs: DataFrame, folds: int = 5, out_fold: int = 1, rows: int | None = None, tag: str = "lm") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
-    Learns from the rows whose crc32 of doc_id as text, modulo `folds`, isn't `out_fold`. Null and empty texts are an
-    end alone. Null doc_ids count as empty text for the fold; rows that repeat a doc_id are texts of their own. Without
-    training texts every count is 0, and the classes are equally likely. An empty table gives no rows.
+    Learns from the rows whose crc32 of doc_id as text, modulo `folds`, isn't `out_fold`. `rows`: of the feature tables, a
+    power of two from BLOCK_ROWS on (default by the vocabulary). Null and empty texts are an end alone. Null doc_ids
+    count as empty text for the fold; rows that repeat a doc_id are texts of their own. Without training texts every
+    count is 0, and classes and slots are equally likely. An empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").withColumn("held_out", remainder(F.col("doc_id"), folds) == out_fold)
     learn = docs.filter(~F.col("held_out"))
     counts = _count(learn, f"{tag}-counts")
-    by_class = {r[0]: (int(r[1]), int(r[2])) for r in counts.groupBy(F.col("id").bitwiseAND(CLASSES - 1)).agg(F.sum("c"), F.count(F.lit(1))).collect()}
-    total, distinct = (sum(x[i] for x in by_class.values()) for i in (0, 1))
-    of_class = np.array([by_class.get(c, (0, 0)) for c in range(CLASSES)], np.float64).reshape(CLASSES, 2)
-    bias = np.log((of_class[:, 0] + 1) / (total + CLASSES)).astype(np.float32)
-    inside = np.log10(of_class[:, 0] + 0.5 * (of_class[:, 1] + 1))
+    total, distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
+    frequent = F.col("c") >= max(1, -(-total // FREQUENT))  # at most FREQUENT rows
+    often = counts.filter(frequent).toArrow()
+    ids, c = np.asarray(often.column("id").combine_chunks(), np.int64).view(np.uint64), np.asarray(often.column("c"), np.int64)
+    heads, order = Heads(ids, c), np.argsort(ids)
+    leaves, sizes = _leaves(counts, heads)
+    inside = np.log10(leaves + 0.5 * (sizes + 1)).ravel()
     outside = float(np.log10(total + 0.5 * (distinct + 1)))
-    often = counts.filter(F.col("c") * FREQUENT >= total).toArrow()  # at most FREQUENT rows
-    ids = np.asarray(often.column("id").combine_chunks(), np.int64).view(np.uint64)
-    order = np.argsort(ids)
-    shared = spark.sparkContext.broadcast((train(learn, bias), ids[order], np.asarray(often.column("c"), np.int64)[order]))
+    shared = spark.sparkContext.broadcast((train(learn, heads, leaves, rows or rows_for(distinct)), ids[order], c[order]))
 
     def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, known, c = shared.value
+        lm, known, c = shared.value
         value = np.log10(c + 0.5)
         for batch in batches_of(it):
             row, ids = tokens(batch.column("text"))
-            n, f, cls = batch.num_rows, contexts(row, ids), (ids & _MASK).astype(np.int64)
-            model = np.zeros(n)
-            for at in range(0, len(ids), BATCH):
-                p = slice(at, at + BATCH)
-                lp = log_probabilities(weights, bias, f[:, p])
-                model += np.bincount(row[p], lp[np.arange(len(lp)), cls[p]].astype(np.float64) / np.log(10) - inside[cls[p]], n)
+            n, leaf = batch.num_rows, (ids & _MASK).astype(np.int64) * SLOTS + lm.heads.slots(ids)
+            model = np.bincount(row, lm.log_probabilities(row, ids) - inside[leaf], n)
             if len(known):
                 where = np.minimum(np.searchsorted(known, ids), len(known) - 1)
                 hit = known[where] == ids
@@ -220,7 +335,7 @@ def score(docs: DataFrame, folds: int = 5, out_fold: int = 1, tag: str = "lm") -
     kind = docs.select("doc_id", "held_out").schema.add("n_tokens", "long").add("n_often", "long").add("often", "double").add("model", "double").add("ids", T.ArrayType(T.LongType())).add("times", T.ArrayType(T.IntegerType()))
     rows = materialize(docs.mapInArrow(local, kind).withColumn("_row", F.monotonically_increasing_id()), f"{tag}-rows")
     rare = rows.select("_row", F.explode(F.arrays_zip("ids", "times")).alias("x")).select("_row", F.col("x.ids").alias("id"), F.col("x.times").alias("k"))
-    found = rare.join(counts.filter(F.col("c") * FREQUENT < total), "id").groupBy("_row").agg(F.sum(F.col("k") * F.log10(F.col("c") + 0.5)).alias("_v"), F.sum(F.col("k").cast("long")).alias("_n"))
+    found = rare.join(counts.filter(~frequent), "id").groupBy("_row").agg(F.sum(F.col("k") * F.log10(F.col("c") + 0.5)).alias("_v"), F.sum(F.col("k").cast("long")).alias("_n"))
     own = rows.select("_row", "doc_id", "held_out", "n_tokens", "n_often", "often", "model")
     out = own.join(found, "_row", "left")
     n_known = F.col("n_often") + F.coalesce("_n", F.lit(0))
