@@ -146,14 +146,24 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+POWERS = 4 << 20
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    out[1:] = base
-    return np.multiply.accumulate(out)
+    """The first n powers; up to POWERS of them are kept for the next batch."""
+    kept = _POWERS.get(int(base))
+    if kept is None or len(kept) < n:
+        out = np.ones(max(n, min(2 * n, POWERS)), np.uint64)
+        out[1:] = base
+        kept = np.multiply.accumulate(out)
+        if len(kept) <= POWERS:
+            _POWERS[int(base)] = kept
+    return kept[:n]
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

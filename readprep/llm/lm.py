@@ -2,9 +2,9 @@
 
 P(token | context) = P(class | context) * P(slot | class, context) * P(token | class, slot). The class of a token is a
 hash of its last two bytes. In a class, the most frequent tokens have slots of their own, all others share a few by hash.
-Classes and slots are log-linear in hashed features of the context: the word before, the two words before as one, and
-the words two and three before (skips); for slots the first two of these, each with the class. Only tokens that share a
-slot are told apart by smoothed counts, whatever the context.
+Classes are log-linear in hashed features of the context: the word before, the two words before as one, and the word two
+before (a skip); slots in the word before together with the class. Only tokens that share a slot are told apart by
+smoothed counts, whatever the context.
 
 Training takes two distributed rounds over all training texts. The first counts features with classes and slots, which
 starts the weights. The second sums the expectations under these weights, and with them the gradient, and takes one step
@@ -34,11 +34,12 @@ CLASSES = 32
 SLOTS = 32
 OWN = 24  # slots of a class that hold one token each
 MAX_ROWS = 1 << 17
+TEXT = 256 << 10  # bytes of text at once: what follows from them stays in the caches
 BATCH = 8192
 START = 0.5  # share of the counts' log odds in the first weights: features overlap
 PRIOR = 30.0
 STEP = 0.5
-LIMIT = 10.0  # of a weight, so that exponentials of sums of four stay finite
+LIMIT = 10.0  # of a weight, so that exponentials of sums of three stay finite
 FREQUENT = 1 << 21
 SCALE = float(1 << 16)
 BLOCK_ROWS = 1024
@@ -65,13 +66,13 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(row: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The context of each token: the word before, the two before as one, the words two and three before."""
+    """The context of each token: the word before, the two before as one, the word two before."""
     n, back = len(ids), []
-    for k in (1, 2, 3):
+    for k in (1, 2):
         p = np.full(n, _START)
         p[k:] = np.where(row[k:] == row[:-k], ids[:-k], _START) if n > k else p[k:]
         back.append(p)
-    return np.stack([back[0], mix64(back[0] * np.uint64(3) + np.uint64(1)) ^ back[1], back[1], back[2]])
+    return np.stack([back[0], mix64(back[0] * np.uint64(3) + np.uint64(1)) ^ back[1], back[1]])
 
 
 def class_rows(ctx: np.ndarray, rows: int) -> list[np.ndarray]:
@@ -82,7 +83,7 @@ def class_rows(ctx: np.ndarray, rows: int) -> list[np.ndarray]:
 def slot_rows(ctx: np.ndarray, cls: np.ndarray, rows: int) -> list[np.ndarray]:
     """The feature rows of each token's slot, given its class."""
     with_class = mix64(cls.astype(np.uint64) + np.uint64(9))
-    return [(mix64((x ^ with_class) * np.uint64(2 * k + 5) + np.uint64(k)) & np.uint64(rows - 1)).astype(np.int64) for k, x in enumerate(ctx[:2])]
+    return [(mix64((ctx[0] ^ with_class) * np.uint64(5)) & np.uint64(rows - 1)).astype(np.int64)]
 
 
 class Heads:
@@ -118,7 +119,8 @@ def expect(out: np.ndarray, weights: np.ndarray, bias: np.ndarray, f: list[np.nd
     """Add each token's distribution, in units of 1 / SCALE, to its feature rows."""
     z, total = exponentials(weights, bias, f)
     z *= (np.float32(SCALE) / total)[:, None]
-    q, place = np.rint(z, z).astype(np.int32), np.arange(len(z))
+    z += np.float32(0.5)
+    q, place = z.astype(np.int32), np.arange(len(z))
     for own in f:
         key = np.sort((own << 32) | place)
         at, order = key >> 32, key & 0xFFFFFFFF
@@ -179,7 +181,7 @@ def _count(docs: DataFrame, tag: str) -> DataFrame:
             u, inv = np.unique(ids, return_inverse=True)
             return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(np.bincount(inv, c).astype(np.int64))], names=["id", "c"])
 
-        for batch in batches_of(it):
+        for batch in batches_of(it, TEXT):
             held.append(np.unique(tokens(batch.column("text"))[1], return_counts=True))
             if sum(len(x[0]) for x in held) > 4_000_000:
                 yield out()
@@ -197,7 +199,7 @@ def _summed(docs: DataFrame, model: Model, add: Callable[[Model, np.ndarray, np.
 
     def own(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, tables = shared.value, [np.zeros((shared.value.rows, w), np.int64) for w in widths]
-        for batch in batches_of(it):
+        for batch in batches_of(it, TEXT):
             add(model, *tokens(batch.column("text")), tables)
         z = zstandard.ZstdCompressor(level=1)
         for k, t in enumerate(tables):
@@ -228,7 +230,7 @@ def _summed(docs: DataFrame, model: Model, add: Callable[[Model, np.ndarray, np.
         salted = summed.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(left)))
         summed = salted.repartition(min(blocks * left, max(blocks, shuffle_parts(docs))), "kind", "block", "salt").drop("salt").mapInArrow(join, kind)
     out, unpack = [np.zeros((model.rows, w), np.int64) for w in widths], zstandard.ZstdDecompressor()
-    for r in summed.toLocalIterator():  # the tables' size in all
+    for r in summed.collect():  # the tables' size in all, whatever the corpus
         x = np.frombuffer(unpack.decompress(r["sums"]), np.int64).reshape(-1, widths[r["kind"]])
         out[r["kind"]][r["block"] : r["block"] + len(x)] += x
     shared.unpersist()
@@ -313,7 +315,7 @@ def score(docs: DataFrame, folds: int = 5, out_fold: int = 1, rows: int | None =
     def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, known, c = shared.value
         value = np.log10(c + 0.5)
-        for batch in batches_of(it):
+        for batch in batches_of(it, TEXT):
             row, ids = tokens(batch.column("text"))
             n, leaf = batch.num_rows, (ids & _MASK).astype(np.int64) * SLOTS + lm.heads.slots(ids)
             model = np.bincount(row, lm.log_probabilities(row, ids) - inside[leaf], n)
