@@ -41,7 +41,8 @@ PRIOR = 30.0
 STEP = 0.5
 LIMIT = 10.0  # of a weight, so that exponentials of sums of three stay finite
 FREQUENT = 1 << 21
-SCALE = float(1 << 16)
+SCALE = float(1 << 12)
+MOST = (1 << 31) // int(SCALE) - 1  # tokens
 BLOCK_ROWS = 1024
 FAN = 64
 
@@ -115,6 +116,25 @@ def exponentials(weights: np.ndarray, bias: np.ndarray, f: list[np.ndarray]) ->
     return z, z.sum(1)
 
 
+class Sums:
+    """A table of integers: 32 bits wide while they can't overflow, which halves what is read and written at random."""
+
+    def __init__(self, rows: int, width: int):
+        self.small, self.whole, self.room = np.zeros((rows, width), np.int32), None, MOST
+
+    def reserve(self, tokens: int) -> np.ndarray:
+        """The table to add at most SCALE a token to."""
+        if tokens > self.room:
+            self.total()
+        self.room -= tokens
+        return self.small
+
+    def total(self) -> np.ndarray:
+        self.whole = self.small.astype(np.int64) if self.whole is None else self.whole + self.small
+        self.small[:], self.room = 0, MOST
+        return self.whole
+
+
 def expect(out: np.ndarray, weights: np.ndarray, bias: np.ndarray, f: list[np.ndarray]) -> None:
     """Add each token's distribution, in units of 1 / SCALE, to its feature rows."""
     z, total = exponentials(weights, bias, f)
@@ -159,15 +179,16 @@ class Model:
             p = slice(at, at + BATCH)
             yield p, cls[p], slot[p], class_rows(ctx[:, p], self.rows), slot_rows(ctx[:, p], cls[p], self.rows)
 
-    def log_probabilities(self, row: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """log10 P(class, slot | context) of each token."""
-        out = np.empty(len(ids))
+    def log_probabilities(self, row: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 P(class, slot | context) of each token, and the number of its class and slot."""
+        out, leaf = np.empty(len(ids)), np.empty(len(ids), np.int64)
         for p, cls, slot, f, g in self.places(row, ids):
             for first, (w, bias, x, y) in enumerate(((self.class_weights, self.class_bias, f, cls), (self.slot_weights, self.slot_bias[cls], g, slot))):
                 z, total = exponentials(w, bias, x)
                 value = np.log10(z[np.arange(len(y)), y].astype(np.float64) / total)
                 out[p] = value if not first else out[p] + value
-        return out
+            leaf[p] = cls * SLOTS + slot
+        return out, leaf
 
 
 def _count(docs: DataFrame, tag: str) -> DataFrame:
@@ -192,17 +213,17 @@ def _count(docs: DataFrame, tag: str) -> DataFrame:
     return materialize(docs.select("text").mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")), tag)
 
 
-def _summed(docs: DataFrame, model: Model, add: Callable[[Model, np.ndarray, np.ndarray, list[np.ndarray]], None]) -> list[np.ndarray]:
+def _summed(docs: DataFrame, model: Model, add: Callable[[Model, np.ndarray, np.ndarray, list[Sums]], None]) -> list[np.ndarray]:
     """What `add` adds up over all texts, in tables of (model.rows, CLASSES) and (model.rows, SLOTS) integers."""
     spark = docs.sparkSession
     shared, widths = spark.sparkContext.broadcast(model), (CLASSES, SLOTS)
 
     def own(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, tables = shared.value, [np.zeros((shared.value.rows, w), np.int64) for w in widths]
+        model, tables = shared.value, [Sums(shared.value.rows, w) for w in widths]
         for batch in batches_of(it, TEXT):
             add(model, *tokens(batch.column("text")), tables)
         z = zstandard.ZstdCompressor(level=1)
-        for k, t in enumerate(tables):
+        for k, t in enumerate(x.total() for x in tables):
             blocks = [(k, b, t[b : b + BLOCK_ROWS]) for b in range(0, len(t), BLOCK_ROWS)]
             yield packed([(k, b, z.compress(x.tobytes())) for k, b, x in blocks if x.any()])
 
@@ -237,20 +258,21 @@ def _summed(docs: DataFrame, model: Model, add: Callable[[Model, np.ndarray, np.
     return out
 
 
-def count_features(model: Model, row: np.ndarray, ids: np.ndarray, tables: list[np.ndarray]) -> None:
+def count_features(model: Model, row: np.ndarray, ids: np.ndarray, tables: list[Sums]) -> None:
     """How often each feature row occurs with each class, and with each slot."""
     for _, cls, slot, f, g in model.places(row, ids):
+        first, second = (t.reserve(len(cls)).reshape(-1) for t in tables)
         for x in f:
-            np.add.at(tables[0].reshape(-1), x * CLASSES + cls, 1)
+            np.add.at(first, x * CLASSES + cls, 1)
         for x in g:
-            np.add.at(tables[1].reshape(-1), x * SLOTS + slot, 1)
+            np.add.at(second, x * SLOTS + slot, 1)
 
 
-def expect_features(model: Model, row: np.ndarray, ids: np.ndarray, tables: list[np.ndarray]) -> None:
-    """What the model expects of the same."""
+def expect_features(model: Model, row: np.ndarray, ids: np.ndarray, tables: list[Sums]) -> None:
+    """What the model expects of the same, in units of 1 / SCALE."""
     for _, cls, _, f, g in model.places(row, ids):
-        expect(tables[0], model.class_weights, model.class_bias, f)
-        expect(tables[1], model.slot_weights, model.slot_bias[cls], g)
+        expect(tables[0].reserve(len(cls)), model.class_weights, model.class_bias, f)
+        expect(tables[1].reserve(len(cls)), model.slot_weights, model.slot_bias[cls], g)
 
 
 def rows_for(distinct: int) -> int:
@@ -314,17 +336,17 @@ def score(docs: DataFrame, folds: int = 5, out_fold: int = 1, rows: int | None =
 
     def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, known, c = shared.value
-        value = np.log10(c + 0.5)
+        known_value = np.log10(c + 0.5)
         for batch in batches_of(it, TEXT):
             row, ids = tokens(batch.column("text"))
-            n, leaf = batch.num_rows, (ids & _MASK).astype(np.int64) * SLOTS + lm.heads.slots(ids)
-            model = np.bincount(row, lm.log_probabilities(row, ids) - inside[leaf], n)
+            n, (value, leaf) = batch.num_rows, lm.log_probabilities(row, ids)
+            model = np.bincount(row, value - inside[leaf], n)
             if len(known):
                 where = np.minimum(np.searchsorted(known, ids), len(known) - 1)
                 hit = known[where] == ids
             else:
                 where, hit = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
-            words = np.bincount(row[hit], value[where[hit]], n) if len(known) else np.zeros(n)
+            words = np.bincount(row[hit], known_value[where[hit]], n) if len(known) else np.zeros(n)
             r, w = row[~hit], ids[~hit]
             o = np.lexsort((w, r))
             r, w = r[o], w[o]

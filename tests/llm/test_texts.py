@@ -741,6 +741,7 @@ def test_scores_do_not_depend_on_splits(spark, monkeypatch):
     for parts, fan, batch in ((1, 64, 8192), (8, 64, 100), (13, 3, 8192)):
         monkeypatch.setattr(lm, "FAN", fan)
         monkeypatch.setattr(lm, "BATCH", batch)
+        monkeypatch.setattr(lm, "MOST", 50 * batch)  # 32 bits are left at other places
         out.append(sorted((r["doc_id"], r["score"], r["base_score"]) for r in lm.score(docs.repartition(parts)).collect()))
     assert out[0] == out[1] == out[2]
 
@@ -774,6 +775,13 @@ def test_model_is_a_distribution():
     assert lm.rows_for(0) == 1 << 14 and lm.rows_for(10**9) == lm.MAX_ROWS and lm.rows_for(200_000) == 1 << 16 and (cls >= 0).all()
 
 
+def test_sums_do_not_overflow():
+    t = lm.Sums(1, 2)
+    for _ in range(7):
+        t.reserve(lm.MOST)[0, 1] += lm.MOST * int(lm.SCALE)
+    assert t.total().tolist() == [[0, 7 * lm.MOST * int(lm.SCALE)]] and t.total()[0, 1] > 2**31
+
+
 def test_weights_stay_finite():
     n = np.array([[10**12, 0, 5], [0, 0, 0], [1, 1, 1]])
     w = lm.first_weights(n, np.array([1e-7, 0.5, 0.5], np.float32))
