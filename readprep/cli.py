@@ -72,15 +72,37 @@ def options(argv: list[str]) -> Options:
     return Options(**{k: tuple(v) if isinstance(v, list) else v for k, v in ns.items()})
 
 
+def notes(argv: list[str], o: Options) -> list[str]:
+    """What was given and does nothing here."""
+    given = [a for a in argv if a in IGNORED or a in IGNORED_WITH_VALUE]
+    out = [f"{a} has no effect any more and is ignored." for a in dict.fromkeys(given)]
+    if o.cores > 1 and o.output_format == "ubam":
+        out.append(f"The number of cores ({o.cores}) is ignored for BAM output: Spark's own tasks encode it.")
+    if o.fastqc_args:
+        out.append("Arguments for an external QC program are ignored: QC counts are made here.")
+    if o.adapter2 and not o.paired:
+        out.append("A read 2 adapter is ignored for single reads.")
+    return out
+
+
+def summary(x) -> list[str]:
+    """The counts of a run, a line for each side, and for pairs."""
+    out = [", ".join(f"{k.replace('_', ' ')}: {v}" for k, v in s.items() if v) for s in x.stats]
+    return out + ([", ".join(f"{k.replace('_', ' ')}: {v}" for k, v in x.pair.items() if v)] if x.pair else [])
+
+
 def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from .plans.run import run
 
-    o = options(sys.argv[1:] if argv is None else argv)
+    argv = sys.argv[1:] if argv is None else argv
+    o = options(argv)
+    for note in notes(argv, o):
+        print(f"Note: {note}", file=sys.stderr)
     spark = SparkSession.builder.appName("readprep").getOrCreate()
     for x in run(spark, o):
-        print(x.note, *x.outputs, sep="\n  ", file=sys.stderr)
+        print(x.note, *summary(x), *x.outputs, sep="\n  ", file=sys.stderr)
     return 0
 
 

@@ -10,11 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import trailing_poly_g
 from ..options import PRESETS, PROBED, SCAN_CAP, Adapters, Options, TrimConfig
 
-# Notes on what was detected.
-SUPPRESSED = "No auto-detected adapter sequence exceeded the user-specified 'already adapter-trimmed' limit of {limit} counts. Only quality trimming will be carried out."
-SUPPRESSED_NAME = "already trimmed (adapter trimming suppressed)"
-FOUND = "Using {name} adapter for trimming (count: {hits}). Second best hit was {second} (count: {second_hits})."
-NOT_FOUND = "No adapters detected in the first {scanned} reads. Defaulting to Illumina adapter."
+SUPPRESSED_NAME = "none (input is trimmed already)"
 
 
 @dataclass(frozen=True)
@@ -62,10 +58,11 @@ def detect(reads: DataFrame, consider_already_trimmed: int | None = None, cap: i
     best, second = order[0], order[1]
     counts, scanned = {PRESETS[p][0]: x[p] for p in PROBED}, x["reads_scanned"]
     if consider_already_trimmed is not None and x[best] <= consider_already_trimmed:
-        return Detection(((SUPPRESSED_NAME, ""),), (), counts, scanned, x["poly_g"], True, SUPPRESSED.format(limit=consider_already_trimmed))
+        return Detection(((SUPPRESSED_NAME, ""),), (), counts, scanned, x["poly_g"], True, f"Every probed adapter was seen at most {consider_already_trimmed} times, so the input counts as trimmed: adapters are left alone, low quality ends go.")
     name, seq, other = PRESETS[best]
-    found = FOUND.format(name=name, hits=x[best], second=PRESETS[second][0], second_hits=x[second])
-    text = found if x[best] else NOT_FOUND.format(scanned=scanned)
+    text = f"{name} occurs in {x[best]} of {scanned} reads looked at, {PRESETS[second][0]}, the next, in {x[second]}: trimming {name}."
+    if not x[best]:
+        text = f"None of the probed adapters occurs in the {scanned} reads looked at: trimming {name}."
     return Detection(((name, seq),), (((f"{name}_r2", other),) if other else ()), counts, scanned, x["poly_g"], False, text)
 
 

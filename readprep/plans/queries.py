@@ -12,9 +12,14 @@ from pyspark.sql.window import Window
 from ..functions import exprs as E
 from ..operators import detect, filters, modes, pairs, stats, trim
 from ..options import PRESETS, TrimConfig
+from ..sinks import store
+from ..sinks.fastq import write_fastq
+from ..sinks.ubam import header, write_ubam, write_ubam_pairs
+from ..sources.ubam import read_ubam_sides
 from ..synth import reads
 from . import qc
 from .oracles import Sql, big, n_count
+from .run import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -538,43 +543,44 @@ def se_full(spark, sf):
 # ------------------------------------------------------------------ modes
 
 
-def _long_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(spark, sf).drop("fault").filter("length(r1.seq) >= 15 AND length(r2.seq) >= 15")
+def _long_pairs(spark: SparkSession, sf: str, n1: int, n2: int) -> DataFrame:
+    """Without the pairs that a mode refuses, of which the tables hold some."""
+    return _pairs(spark, sf).drop("fault").filter(f"length(r1.seq) >= {n1} AND length(r2.seq) >= {n2}")
 
 
 def _oracle_clock() -> str:
     s = Sql()
-    j = s.add(f"SELECT a.rec_idx, a.id AS id1, b.id AS id2, a.seq AS s1, b.seq AS s2 FROM {s.reads('r1')} a JOIN {s.reads('r2')} b USING (rec_idx) WHERE length(a.seq) >= 15 AND length(b.seq) >= 15")
+    j = s.add(f"SELECT a.rec_idx, a.id AS id1, b.id AS id2, a.seq AS s1, b.seq AS s2 FROM {s.reads('r1')} a JOIN {s.reads('r2')} b USING (rec_idx) WHERE length(a.seq) >= 13 AND length(b.seq) >= 15")
     tail = "':R1:' || substr(s1, 1, 8) || ':R2:' || substr(s2, 1, 8) || ':F1:' || substr(s1, 9, 4) || ':F2:' || substr(s2, 9, 4)"
     return s.select(f"SELECT rec_idx, id1 || {tail} AS id1, substr(s1, 13) AS seq1, substr(s2, 15) AS seq2, substr(s1, 9, 4) = 'CAGT' AND substr(s2, 9, 4) = 'CAGT' AS with_fixed FROM {j}")
 
 
 @query(_oracle_clock)
 def clock_umi(spark, sf):
-    return modes.clock_umi(_long_pairs(spark, sf)).select("rec_idx", F.col("r1.id").alias("id1"), F.col("r1.seq").alias("seq1"), F.col("r2.seq").alias("seq2"), "with_fixed")
+    return modes.clock_umi(_long_pairs(spark, sf, 13, 15)).select("rec_idx", F.col("r1.id").alias("id1"), F.col("r1.seq").alias("seq1"), F.col("r2.seq").alias("seq2"), "with_fixed")
 
 
 def _oracle_clock_summary() -> str:
     s = Sql()
-    j = s.add(f"SELECT substr(a.seq, 9, 4) = 'CAGT' AND substr(b.seq, 9, 4) = 'CAGT' AS f FROM {s.reads('r1')} a JOIN {s.reads('r2')} b USING (rec_idx) WHERE length(a.seq) >= 15 AND length(b.seq) >= 15")
+    j = s.add(f"SELECT substr(a.seq, 9, 4) = 'CAGT' AND substr(b.seq, 9, 4) = 'CAGT' AS f FROM {s.reads('r1')} a JOIN {s.reads('r2')} b USING (rec_idx) WHERE length(a.seq) >= 13 AND length(b.seq) >= 15")
     return s.select(f"SELECT {counted('pairs')}, {counted('with_fixed', 'f')}, {counted('without_fixed', 'NOT f')}, round(100.0 * count(*) FILTER (f) / greatest(count(*), 1), 6) AS percent_with FROM {j}")
 
 
 @query(_oracle_clock_summary)
 def clock_summary(spark, sf):
-    out = modes.clock_summary(modes.clock_umi(_long_pairs(spark, sf)))
+    out = modes.clock_summary(modes.clock_umi(_long_pairs(spark, sf, 13, 15)))
     return out.withColumn("percent_with", F.round("percent_with", 6))
 
 
 def _oracle_implicon() -> str:
     s = Sql()
-    j = s.add(f"SELECT a.rec_idx, a.id AS id1, b.id AS id2, a.seq AS s1, b.seq AS s2 FROM {s.reads('r1')} a JOIN {s.reads('r2')} b USING (rec_idx) WHERE length(a.seq) >= 15 AND length(b.seq) >= 15")
+    j = s.add(f"SELECT a.rec_idx, a.id AS id1, b.id AS id2, a.seq AS s1, b.seq AS s2 FROM {s.reads('r1')} a JOIN {s.reads('r2')} b USING (rec_idx) WHERE length(b.seq) >= 8")
     return s.select(f"SELECT rec_idx, id1 || ':' || substr(s2, 1, 8) AS id1, id2 || ':' || substr(s2, 1, 8) AS id2, s1 AS seq1, substr(s2, 9) AS seq2 FROM {j}")
 
 
 @query(_oracle_implicon)
 def implicon_umi(spark, sf):
-    u = modes.implicon_umi(_long_pairs(spark, sf))
+    u = modes.implicon_umi(_long_pairs(spark, sf, 0, 8))
     return u.select("rec_idx", F.col("r1.id").alias("id1"), F.col("r2.id").alias("id2"), F.col("r1.seq").alias("seq1"), F.col("r2.seq").alias("seq2"))
 
 
@@ -667,3 +673,32 @@ def qc_gc_content(spark, sf):
 @query(lambda: (s := Sql()).select(f"SELECT copies, {counted('sequences')} FROM (SELECT count(*) AS copies FROM {s.reads()} GROUP BY seq) x GROUP BY copies"))
 def qc_duplication(spark, sf):
     return qc.duplication(reads(spark, sf))
+
+
+# ------------------------------------------------------------------ files
+
+
+@query(lambda: (s := Sql()).select(f"SELECT row_number() OVER (ORDER BY rec_idx) - 1 AS rec_idx, id, seq, qual FROM {s.reads()}"))
+def fastq_round_trip(spark, sf):
+    """Written as gzip parts, in order, and read back, numbered anew."""
+    folder = store.shared_folder(spark, "fastq")
+    write_fastq(reads(spark, sf), folder, level=6)
+    return load(spark, folder)
+
+
+@query(lambda: (s := Sql()).select(f"SELECT row_number() OVER (ORDER BY rec_idx) - 1 AS rec_idx, split_part(id, ' ', 1) AS id, seq, qual FROM {s.reads()} WHERE length(seq) > 0"))
+def ubam_round_trip(spark, sf):
+    """As BAM parts, which hold no empty reads, and back; ids end at the first space."""
+    folder = store.shared_folder(spark, "ubam")
+    write_ubam(reads(spark, sf).filter("length(seq) > 0"), folder, header(None, "readprep", "1.0", "readprep"))
+    return load(spark, folder)
+
+
+@query(lambda: (s := Sql()).select(f"SELECT row_number() OVER (ORDER BY a.rec_idx) - 1 AS rec_idx, split_part(a.id, ' ', 1) AS id1, split_part(b.id, ' ', 1) AS id2, a.seq AS seq1, a.qual AS qual1, b.seq AS seq2, b.qual AS qual2 FROM {s.reads('r1')} a JOIN {s.reads('r2')} b USING (rec_idx) WHERE length(a.seq) > 0 AND length(b.seq) > 0"))
+def ubam_pairs_round_trip(spark, sf):
+    """Pairs as one interleaved BAM folder, and zipped again by flags."""
+    folder = store.shared_folder(spark, "ubam")
+    write_ubam_pairs(_long_pairs(spark, sf, 1, 1), folder, header(None, "readprep", "1.0", "readprep"))
+    back = pairs.strict(pairs.interleaved(read_ubam_sides(spark, folder)))
+    n = F.col("rec_idx").alias("rec_idx")
+    return back.select(n, *[F.col(f"r{k}.{c}").alias(f"{c}{k}") for k in (1, 2) for c in ("id", "seq", "qual")])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
+import io
 import json
+import zlib
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -13,12 +16,12 @@ from ..operators import detect, filters, modes, pairs, stats
 from ..operators.trim import trim_pairs, trim_single
 from ..options import Options, OptionError, TrimConfig, clump_layout, parse_memory
 from ..reports import Run, json_report, text_report
-from ..sinks import naming
+from ..sinks import naming, store
 from ..sinks.fastq import write_clumped, write_fastq
 from ..sinks.ubam import header, write_ubam, write_ubam_pairs
-from ..sources.fastq import detect_format, read_fastq, sanity_check
+from ..sources.fastq import check_first, detect_format, format_of, read_fastq, read_fastq_store, sanity_check
 from ..sources.sheets import read_sheet
-from ..sources.ubam import peek_header, read_ubam, read_ubam_sides
+from ..sources.ubam import peek_header, read_header, read_ubam, read_ubam_sides, read_ubam_store
 from . import qc
 
 TOOL, VERSION = "readprep", "1.0"
@@ -34,12 +37,41 @@ class Outcome:
     note: str = ""
 
 
+def kind_of(spark: SparkSession, path: str) -> str:
+    """fastq, fastq.gz or bam, by content, wherever the file is."""
+    return format_of(path, store.head(spark, path)) if store.is_uri(path) else detect_format(path)
+
+
+def _header_of(spark: SparkSession, path: str) -> str | None:
+    if kind_of(spark, path) != "bam":
+        return None
+    return read_header(gzip.open(io.BytesIO(store.head(spark, path, 1 << 22))))[0] if store.is_uri(path) else peek_header(path)
+
+
 def load(spark: SparkSession, path: str, tags: tuple[str, ...] = ()) -> DataFrame:
-    """Reads (rec_idx, id, seq, qual) of a FASTQ or BAM file, whatever its name."""
-    if detect_format(path) == "bam":
-        return read_ubam(spark, path, tags=tags).select("rec_idx", "id", "seq", "qual")
-    sanity_check(path)
-    return read_fastq(spark, path).select("rec_idx", "id", "seq", "qual")
+    """Reads (rec_idx, id, seq, qual) of a FASTQ or BAM file, whatever its name; of a path that names its store, also of a
+    folder of parts, numbered from part to part."""
+    own = ["rec_idx", "id", "seq", "qual"]
+    if not store.is_uri(path):
+        if detect_format(path) == "bam":
+            return read_ubam(spark, path, tags=tags).select(*own)
+        sanity_check(path)
+        return read_fastq(spark, path).select(*own)
+    kind = kind_of(spark, path)
+    if kind == "bam":
+        return read_ubam_store(spark, path, tags).select(*own)
+    data = store.head(spark, path)
+    data = zlib.decompressobj(31).decompress(data) if kind == "fastq.gz" else data
+    check_first(path, [line + b"\n" for line in data.split(b"\n")[:4]])
+    reads = read_fastq_store(spark, path)
+    base, bases = 0, []
+    for name, n in sorted((r[0], r[1]) for r in reads.groupBy("file").agg(F.count(F.lit(1))).collect()):  # a row for each part
+        bases.append((name, base))
+        base += n
+    if len(bases) > 1:
+        shared = spark.createDataFrame(bases, "file string, base long")
+        reads = reads.join(F.broadcast(shared), "file").withColumn("rec_idx", F.col("rec_idx") + F.col("base"))
+    return reads.select(*own)
 
 
 def _zipped(o: Options, path: str) -> bool:
@@ -54,14 +86,14 @@ def _histogram(trimmed: DataFrame, t: str) -> dict[int, dict[int, int]]:
     return out
 
 
-def _report(o: Options, run: Run, path: str, s: dict, side: int, pair: dict | None, mate: int | None = None, pt: tuple[str, str] | None = None) -> list[str]:
+def _report(spark: SparkSession, o: Options, run: Run, path: str, s: dict, side: int, pair: dict | None, mate: int | None = None, pt: tuple[str, str] | None = None) -> list[str]:
     if not o.report:
         return []
     out = []
     for as_json in (False, True):
         name = naming.report(path, o.output_dir, as_json, mate)
         naming.make_folders([name])
-        Path(name).write_text(json_report(run, s, side, pair) if as_json else text_report(run, s, side, pair, pt))
+        store.write_text(spark, name, json_report(run, s, side, pair) if as_json else text_report(run, s, side, pair, pt))
         out.append(name)
     return out
 
@@ -70,9 +102,10 @@ def _qc(o: Options, reads: DataFrame, path: str) -> list[str]:
     """Per-position, length, GC and duplication counts of what was written, as JSON; a row for each position or length."""
     if not o.fastqc:
         return []
-    name = f"{Path(path).with_suffix('')}_qc.json"
+    name = naming.qc(path)
     parts = {"per_position": qc.per_position(reads), "lengths": qc.lengths(reads), "gc_content": qc.gc_content(reads), "duplication": qc.duplication(reads)}
-    Path(name).write_text(json.dumps({k: sorted((r.asDict() for r in df.collect()), key=lambda r: next(iter(r.values()))) for k, df in parts.items()}, indent=1))
+    found = {k: sorted((r.asDict() for r in df.collect()), key=lambda r: next(iter(r.values()))) for k, df in parts.items()}
+    store.write_text(reads.sparkSession, name, json.dumps(found, indent=1))
     return [name]
 
 
@@ -82,7 +115,6 @@ def _command(o: Options) -> str:
 
 def single(spark: SparkSession, o: Options, path: str) -> Outcome:
     """One file: trim, filter, write, report; demultiplex the result if asked to."""
-    bam = detect_format(path) == "bam"
     reads = load(spark, path, o.preserve_tags)
     c, note = detect.resolve(o, reads)
     clumped = o.clumpify and clump_layout(parse_memory(o.memory), o.cores).fits
@@ -95,7 +127,7 @@ def single(spark: SparkSession, o: Options, path: str) -> Outcome:
         gz = _zipped(o, path)
         if o.output_format == "ubam":
             out = naming.single_bam(path, o.output_dir, o.basename)
-            write_ubam(kept.select("rec_idx", "r.*"), out, header(peek_header(path) if bam else None, TOOL, VERSION, _command(o)))
+            write_ubam(kept.select("rec_idx", "r.*"), out, header(_header_of(spark, path), TOOL, VERSION, _command(o)), o.compression)
         else:
             out = naming.single(path, o.output_dir, o.basename, gz)
             if clumped:
@@ -108,7 +140,7 @@ def single(spark: SparkSession, o: Options, path: str) -> Outcome:
     finally:
         t.unpersist()
     run = Run(c, Path(path).name, (Path(path).name,), _command(o), TOOL, VERSION, o.consider_already_trimmed, hist)
-    return Outcome(outputs + _report(o, run, path, s, 1, None), [s], None, note)
+    return Outcome(outputs + _report(spark, o, run, path, s, 1, None), [s], None, note)
 
 
 def demux(spark: SparkSession, o: Options, reads: DataFrame, path: str, gz: bool) -> list[str]:
@@ -120,10 +152,9 @@ def demux(spark: SparkSession, o: Options, reads: DataFrame, path: str, gz: bool
         for sample in [*[r["sample"] for r in sheet.collect()], modes.NO_CODE]:
             name = naming.demux(path, sample, o.output_dir, gz)
             out.append(write_fastq(assigned.filter(F.col("sample") == sample), name, gzip=gz, level=o.compression))
-        summary = f"{naming.stem(path)}_demultiplexing_summary.txt"
-        summary = str(Path(o.output_dir or Path(path).parent) / summary)
+        summary = naming.demux_summary(path, o.output_dir)
         rows = modes.demux_summary(assigned, sheet).collect()
-        Path(summary).write_text("".join(f"{r['sample']}\t{r['barcode'] or ''}\t{r['reads']}\n" for r in rows))
+        store.write_text(spark, summary, "".join(f"{r['sample']}\t{r['barcode'] or ''}\t{r['reads']}\n" for r in rows))
     finally:
         assigned.unpersist()
     return [*out, summary]
@@ -152,9 +183,8 @@ def paired(spark: SparkSession, o: Options, r1: str, r2: str | None) -> Outcome:
         gz = _zipped(o, r1)
         outputs, pt = [], None
         if o.output_format == "ubam":
-            bam = detect_format(r1) == "bam"
             out = naming.paired_bam(r1, o.output_dir, o.basename)
-            outputs.append(write_ubam_pairs(kept, out, header(peek_header(r1) if bam else None, TOOL, VERSION, _command(o))))
+            outputs.append(write_ubam_pairs(kept, out, header(_header_of(spark, r1), TOOL, VERSION, _command(o)), o.compression))
         else:
             names = naming.interleaved(r1, o.output_dir, o.basename) if r2 is None else naming.paired(r1, r2, o.output_dir, o.basename, gz)
             for n, name in enumerate(names, 1):
@@ -174,7 +204,7 @@ def paired(spark: SparkSession, o: Options, r1: str, r2: str | None) -> Outcome:
     for n, s in enumerate(sides, 1):
         path = (r1 if n == 1 else r2) if r2 else r1
         run = Run(c, Path(path).name, files, _command(o), TOOL, VERSION, o.consider_already_trimmed, hists[n - 1])
-        outputs += _report(o, run, path, s, n, p, None if r2 else n, pt)
+        outputs += _report(spark, o, run, path, s, n, p, None if r2 else n, pt)
     return Outcome(outputs, sides, p, note)
 
 
@@ -187,8 +217,8 @@ def specialty(spark: SparkSession, o: Options) -> Outcome:
             reads = (modes.hardtrim5 if o.hardtrim5 else modes.hardtrim3)(load(spark, path, o.preserve_tags), n, o.rename)
             gz, bam = _zipped(o, path), o.output_format == "ubam"
             name = naming.hardtrim(path, n, end, o.output_dir, gz, bam)
-            head = header(peek_header(path) if detect_format(path) == "bam" else None, TOOL, VERSION, _command(o))
-            out.append(write_ubam(reads, name, head) if bam else write_fastq(reads, name, gzip=gz, level=o.compression))
+            head = header(_header_of(spark, path), TOOL, VERSION, _command(o))
+            out.append(write_ubam(reads, name, head, o.compression) if bam else write_fastq(reads, name, gzip=gz, level=o.compression))
         return Outcome(out)
     note = ""
     for r1, r2 in zip(o.inputs[::2], o.inputs[1::2], strict=True):
@@ -205,26 +235,55 @@ def specialty(spark: SparkSession, o: Options) -> Outcome:
     return Outcome(out, note=note)
 
 
-def planned(o: Options) -> list[str]:
-    """The main outputs of a run, for the check that none fall together."""
+def planned(o: Options, samples: tuple[str, ...] = ()) -> list[str]:
+    """Every output of a run, for the check that none fall together. samples: of the barcode sheet."""
+    out: list[str] = []
+    if o.hardtrim5 or o.hardtrim3:
+        n, end = (o.hardtrim5, "5prime") if o.hardtrim5 else (o.hardtrim3, "3prime")
+        return [naming.hardtrim(p, n, end, o.output_dir, _zipped(o, p), o.output_format == "ubam") for p in o.inputs]
     if o.specialty:
-        return []
+        for a, b in zip(o.inputs[::2], o.inputs[1::2], strict=False):
+            gz = _zipped(o, a)
+            out += [naming.clock(r, n, o.output_dir, gz) if o.clock else naming.implicon(r, o.implicon, n, o.output_dir, gz) for n, r in ((1, a), (2, b))]
+        return out
+    units = [(p, None) for p in o.inputs]
     if o.paired and len(o.inputs) > 1:
-        return [x for a, b in zip(o.inputs[::2], o.inputs[1::2], strict=True) for x in naming.paired(a, b, o.output_dir, o.basename, _zipped(o, a))]
-    if o.paired:
-        return list(naming.interleaved(o.inputs[0], o.output_dir, o.basename))
-    return [naming.single(p, o.output_dir, o.basename, _zipped(o, p)) for p in o.inputs]
+        units = list(zip(o.inputs[::2], o.inputs[1::2], strict=True))
+    for a, b in units:
+        gz, main = _zipped(o, a), []
+        if o.output_format == "ubam":
+            main = [(naming.paired_bam if o.paired else naming.single_bam)(a, o.output_dir, o.basename)]
+        elif b is not None:
+            main = list(naming.paired(a, b, o.output_dir, o.basename, gz))
+        elif o.paired:
+            main = list(naming.interleaved(a, o.output_dir, o.basename))
+        else:
+            main = [naming.single(a, o.output_dir, o.basename, gz)]
+        out += main
+        if o.retain_unpaired and o.paired:
+            out += naming.paired(a, b or a, o.output_dir, o.basename, gz, "unpaired")
+        if o.passthrough:
+            out.append(naming.passthrough(o.passthrough, o.output_dir, o.basename, gz))
+        if o.demux and not o.paired:
+            out += [naming.demux(main[0], s, o.output_dir, gz) for s in (*samples, modes.NO_CODE)] + [naming.demux_summary(main[0], o.output_dir)]
+        if o.fastqc and o.output_format != "ubam":
+            out += [naming.qc(x) for x in main]
+        if o.report:
+            sides = [(a, None), (b, None)] if b is not None else [(a, 1), (a, 2)] if o.paired else [(a, None)]
+            out += [naming.report(p, o.output_dir, as_json, mate) for p, mate in sides for as_json in (False, True)]
+    return out
 
 
 def run(spark: SparkSession, o: Options) -> list[Outcome]:
     """Validate, check outputs, and run every file or pair."""
     if not o.inputs:
         raise OptionError("no input")
-    kinds = [detect_format(p) for p in o.inputs]
+    kinds = [kind_of(spark, p) for p in o.inputs]
     o = Options(**(o.__dict__ | {"bam_inputs": "bam" in kinds})).validate()
     if o.passthrough and "bam" in kinds:
         raise OptionError("passthrough takes no BAM input")
-    naming.make_folders(naming.preflight(planned(o)))
+    samples = tuple(r["sample"] for r in read_sheet(spark, o.demux).collect()) if o.demux else ()  # a sheet is small
+    naming.make_folders(naming.preflight(planned(o, samples)))
     if o.specialty:
         return [specialty(spark, o)]
     if o.paired:

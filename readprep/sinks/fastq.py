@@ -1,51 +1,52 @@
-"""FASTQ sink: ordered parts written by Spark, then joined into one file (gzip members may follow each other)."""
+"""FASTQ sink: ordered parts written by Spark, each gzip part a member of its own, so that parts joined are a file.
 
-from __future__ import annotations
+Paths that name their store become folders of parts; local paths become single files.
+"""
 
-import shutil
-import uuid
-from pathlib import Path
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from .naming import make_folders
 
+LEVELS = dict(enumerate(["BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION"], 1))
+
 
 def fastq_text(read: Column | str) -> Column:
     c = (lambda x: F.col(x)) if read == "" else (lambda x: F.col(f"{read}.{x}"))
     return F.concat_ws("\n", c("id"), c("seq"), F.lit("+"), c("qual")).alias("value")
 
 
+def _write(rows: DataFrame, folder: str, gzip: bool, level: int) -> None:
+    """The level is an option of this write alone."""
+    rows.write.mode("overwrite").option("compression", "gzip" if gzip else "none").option("zlib.compress.level", LEVELS[level]).text(folder)
+
+
 def write_parts(df: DataFrame, folder: str, read: str = "", order: str = "rec_idx", gzip: bool = True, level: int = 1) -> None:
-    """A folder of FASTQ parts whose names follow `order`; each gzip part is a member of its own."""
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    conf.set("zlib.compress.level", {1: "BEST_SPEED", 9: "BEST_COMPRESSION"}.get(level, "DEFAULT_COMPRESSION"))
-    rows = df.select(F.col(order).alias("_order"), fastq_text(read)).orderBy("_order").select("value")
-    rows.write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(folder)
+    """A folder of FASTQ parts whose names follow `order`."""
+    _write(df.select(F.col(order).alias("_order"), fastq_text(read)).orderBy("_order").select("value"), folder, gzip, level)
 
 
 def write_fastq(df: DataFrame, path: str, read: str = "", order: str = "rec_idx", gzip: bool = True, level: int = 1) -> str:
-    """One FASTQ file of the reads (id, seq, qual) of column `read` ('' for top level), in order."""
+    """The reads (id, seq, qual) of column `read` ('' for top level), in order."""
+    if store.is_uri(path):
+        write_parts(df, path, read, order, gzip, level)
+        return path
     make_folders([path])
-    folder = f"{path}.parts-{uuid.uuid4().hex}"
+    folder = store.parts_of(path)
     write_parts(df, folder, read, order, gzip, level)
-    with open(path, "wb") as out:
-        for part in sorted(Path(folder).glob("part-*")):
-            with part.open("rb") as f:
-                shutil.copyfileobj(f, out, 1 << 20)
-    shutil.rmtree(folder)
-    return path
+    return store.join_parts(df.sparkSession, folder, path)
 
 
 def write_clumped(df: DataFrame, path: str, read: str = "", level: int = 1) -> str:
-    """One gzip file of reads as they lie: each bin of operators.modes.clump is a member."""
+    """Reads as they lie, always gzip: each bin of operators.modes.clump is a member."""
+    rows = df.select(fastq_text(read))
+    if store.is_uri(path):
+        _write(rows, path, True, level)
+        return path
     make_folders([path])
-    folder = f"{path}.parts-{uuid.uuid4().hex}"
-    df.select(fastq_text(read)).write.mode("overwrite").option("compression", "gzip").text(folder)
-    with open(path, "wb") as out:
-        for part in sorted(Path(folder).glob("part-*")):
-            with part.open("rb") as f:
-                shutil.copyfileobj(f, out, 1 << 20)
-    shutil.rmtree(folder)
-    return path
+    folder = store.parts_of(path)
+    _write(rows, folder, True, level)
+    return store.join_parts(df.sparkSession, folder, path)

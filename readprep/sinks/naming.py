@@ -16,8 +16,13 @@ def stem(path: str) -> str:
     return Path(name.removesuffix(".gz")).stem
 
 
+def place(folder: str | None, name: str) -> str:
+    """A name in a folder, which may name its store; without one, in the working folder."""
+    return f"{folder.rstrip('/')}/{name}" if folder and "://" in folder else str(Path(folder or "") / name)
+
+
 def _in(path: str, output_dir: str | None, name: str) -> str:
-    return str((Path(output_dir) if output_dir else Path(path).parent) / name)
+    return place(output_dir or (path.rpartition("/")[0] if "://" in path else str(Path(path).parent)), name)
 
 
 def _gz(gzip: bool) -> str:
@@ -57,27 +62,36 @@ def report(path: str, output_dir: str | None = None, json: bool = False, side: i
 
 def hardtrim(path: str, keep: int, end: str, output_dir: str | None = None, gzip: bool = True, bam: bool = False) -> str:
     """In the output folder, or the working folder; end: 5prime or 3prime."""
-    return str(Path(output_dir or "") / f"{stem(path)}.{keep}bp_{end}{'.bam' if bam else '.fq' + _gz(gzip)}")
+    return place(output_dir, f"{stem(path)}.{keep}bp_{end}{'.bam' if bam else '.fq' + _gz(gzip)}")
 
 
 def clock(path: str, side: int, output_dir: str | None = None, gzip: bool = True) -> str:
-    return str(Path(output_dir or "") / f"{stem(path)}.clock_UMI.R{side}.fq{_gz(gzip)}")
+    return place(output_dir, f"{stem(path)}.clock_UMI.R{side}.fq{_gz(gzip)}")
 
 
 def implicon(path: str, n: int, side: int, output_dir: str | None = None, gzip: bool = True) -> str:
     own = re.sub(r"_?R1$" if side == 1 else r"_?R[234]$", "", stem(path))
-    return str(Path(output_dir or "") / f"{own}_{n}bp_UMI_R{side}.fastq{_gz(gzip)}")
+    return place(output_dir, f"{own}_{n}bp_UMI_R{side}.fastq{_gz(gzip)}")
 
 
 def demux(path: str, sample: str, output_dir: str | None = None, gzip: bool = True) -> str:
     return _in(path, output_dir, f"{stem(path)}_{sample}.fq{_gz(gzip)}")
 
 
+def demux_summary(path: str, output_dir: str | None = None) -> str:
+    return _in(path, output_dir, f"{stem(path)}_demultiplexing_summary.txt")
+
+
+def qc(path: str) -> str:
+    """Beside the output that it counts."""
+    return f"{path.removesuffix('.gz').rpartition('.')[0]}{'.fq' if path.endswith('.gz') else ''}_qc.json"
+
+
 def preflight(outputs: list[str]) -> list[str]:
     """Raise OptionError if two outputs are the same file, also where case doesn't count."""
     seen: dict[str, str] = {}
     for o in outputs:
-        key = str(Path(o).absolute()).casefold()
+        key = (o if "://" in o else str(Path(o).absolute())).casefold()
         if key in seen:
             raise OptionError(f"{o} and {seen[key]} would be the same file")
         seen[key] = o
@@ -85,5 +99,5 @@ def preflight(outputs: list[str]) -> list[str]:
 
 
 def make_folders(outputs: list[str]) -> None:
-    for o in outputs:
+    for o in (o for o in outputs if "://" not in o):
         Path(o).parent.mkdir(parents=True, exist_ok=True)

@@ -7,16 +7,20 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.fastq import FormatError
 from ..sources.ubam import BASES, _TO_N
+from . import store
 from .naming import make_folders
 
 EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 SINGLE, FIRST, SECOND = 0x4, 0x4D, 0x8D
-_CODE = {b: i for i, b in enumerate(BASES)}
+_HEX = str.maketrans({b: f"{i:x}" for i, b in enumerate(BASES)})
+_QUALITY = bytes(max(i - 33, 0) for i in range(256))
+ROW = 1 << 20
 
 
 def bgzf(data: bytes, level: int = 1) -> bytes:
@@ -66,42 +70,66 @@ def encode(read_id: str, seq: str, qual: str, flag: int) -> bytes:
     bases = seq.upper().translate(_TO_N)
     if set(bases) - set("ACGTN"):
         raise FormatError(f"not a BAM sequence: {seq}")
-    codes = [_CODE[b] for b in bases] + [0] * (len(bases) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
-    raw = bytes(max(ord(c) - 33, 0) for c in qual)
+    packed = bytes.fromhex(bases.translate(_HEX) + "0" * (len(bases) % 2))
+    raw = qual.encode("ascii").translate(_QUALITY)
     body = struct.pack("<iiBBHHHiiii", -1, -1, len(name) + 1, 0, 4680, 0, flag, len(seq), -1, -1, 0)
     body += name + b"\0" + packed + raw + b"".join(map(encode_tag, tail))
     return struct.pack("<i", len(body)) + body
 
 
-def file_bytes(head: str, rows: Iterable[tuple[str, str, str, int]], level: int = 1) -> Iterator[bytes]:
+def header_block(head: str, level: int = 1) -> bytes:
     text = head.encode()
-    held = bytearray(b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", 0))
-    for r in rows:
-        held += encode(*r)
-        while len(held) >= 0xFF00:
-            yield bgzf(bytes(held[:0xFF00]), level)
-            del held[:0xFF00]
-    if held:
-        yield bgzf(bytes(held), level)
+    return bgzf_all(b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", 0), level)
+
+
+def bgzf_all(data: bytes, level: int = 1) -> bytes:
+    return b"".join(bgzf(data[at : at + 0xFF00], level) for at in range(0, len(data), 0xFF00))
+
+
+def file_bytes(head: str, rows: Iterable[tuple[str, str, str, int]], level: int = 1) -> Iterator[bytes]:
+    """A whole file: the header, blocks of records, the end mark."""
+    yield header_block(head, level)
+    yield bgzf_all(b"".join(encode(*r) for r in rows), level)
     yield EOF
 
 
 def write_ubam(df: DataFrame, path: str, head: str, level: int = 1) -> str:
-    """One BAM file of reads (rec_idx, id, seq, qual), in order, a partition at a time through the driver."""
+    """Reads (rec_idx, id, seq, qual) as BAM, in order."""
     return _write(df.select("rec_idx", "id", "seq", "qual", F.lit(SINGLE).alias("flag")).orderBy("rec_idx"), path, head, level)
 
 
 def write_ubam_pairs(df: DataFrame, path: str, head: str, level: int = 1) -> str:
-    """One interleaved BAM file of pairs (rec_idx, r1, r2): read 1, read 2, read 1, ..."""
+    """Pairs (rec_idx, r1, r2) as interleaved BAM: read 1, read 2, read 1, ..."""
     side = F.explode(F.array(*[F.struct(F.lit(f).alias("flag"), F.col(r).alias("r")) for r, f in (("r1", FIRST), ("r2", SECOND))])).alias("s")
     rows = df.select("rec_idx", side).select("rec_idx", "s.r.id", "s.r.seq", "s.r.qual", "s.flag")
     return _write(rows.orderBy("rec_idx", "flag"), path, head, level)
 
 
 def _write(rows: DataFrame, path: str, head: str, level: int) -> str:
+    """Tasks encode and compress. A path that names its store becomes a folder of parts, each a BAM file; a local one a file."""
+    own = store.is_uri(path)
+    block = header_block(head, level)
+
+    def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = bytearray(), block if own else b""
+        for batch in it:
+            for r in zip(*[batch.column(c).to_pylist() for c in ("id", "seq", "qual", "flag")], strict=True):
+                held += encode(*r)
+                if len(held) >= ROW:
+                    yield row(first + bgzf_all(bytes(held), level))
+                    held, first = bytearray(), b""
+        if held or first:
+            yield row(first + bgzf_all(bytes(held), level))
+
+    def row(data: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
+
+    made = rows.select("id", "seq", "qual", "flag").mapInArrow(blocks, "data binary")
+    if own:
+        store.write_bytes(made, path, EOF)  # an empty block follows each row, at the end as the format wants it
+        return path
     make_folders([path])
-    with open(path, "wb") as f:
-        for block in file_bytes(head, ((r["id"], r["seq"], r["qual"], r["flag"]) for r in rows.toLocalIterator(True)), level):
-            f.write(block)
-    return path
+    folder = store.parts_of(path)
+    store.write_bytes(made, folder, EOF)
+    empty = made.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).filter("length > 0").isEmpty()
+    return store.join_parts(made.sparkSession, folder, path, block + EOF * empty)

@@ -10,7 +10,8 @@ import glob
 import gzip
 import io
 import os
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -38,15 +39,17 @@ def open_any(path: str) -> io.BufferedIOBase:
 def detect_format(path: str) -> str:
     """fastq, fastq.gz or bam by content; anything else and an empty file raise."""
     with open(path, "rb") as f:
-        head = f.read(4)
-    if not head:
+        return format_of(path, f.read(1 << 16))
+
+
+def format_of(path: str, data: bytes) -> str:
+    """As detect_format, from the first bytes of a file."""
+    if not data:
         raise FormatError(f"{path} is empty")
-    if head[:1] == b"@":
+    if data[:1] == b"@":
         return "fastq"
-    if head[:3] == b"\x1f\x8b\x08":
-        with gzip.open(path) as f:
-            inner = f.read(4)
-        return "bam" if inner == b"BAM\x01" else "fastq.gz"
+    if data[:3] == b"\x1f\x8b\x08":
+        return "bam" if zlib.decompressobj(31).decompress(data, 4) == b"BAM\x01" else "fastq.gz"
     raise FormatError(f"{path} is neither FASTQ nor BAM")
 
 
@@ -70,7 +73,12 @@ def parse(lines: Iterator[bytes], name: str = "input", first: int = 0) -> Iterat
 def sanity_check(path: str) -> None:
     """The first record: there is one, its id starts with @, its bases hold no digit (colour space)."""
     with open_any(path) as f:
-        first = next(parse(iter(f), path), None)
+        check_first(path, f)
+
+
+def check_first(path: str, lines: Iterable[bytes]) -> None:
+    """As sanity_check, from the first lines of a file."""
+    first = next(parse(iter(lines), path), None)
     if first is None:
         raise FormatError(f"{path} is empty")
     if not first[0].startswith("@"):

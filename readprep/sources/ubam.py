@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import io
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,6 +17,8 @@ from .fastq import BATCH, FormatError
 
 BASES = "=ACMGRSVTWYHKDBN"
 _TO_N = str.maketrans("RYMKSWBDHV", "N" * 10)
+_TWO = [a + b for a in BASES for b in BASES]
+_SHOWN = bytes(min(i, 93) + 33 for i in range(256))
 _INT = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I"}
 
 
@@ -59,9 +62,9 @@ def parse_tags(data: bytes) -> dict[str, tuple[str, str]]:
     return out
 
 
-def records(path: str, keep: tuple[str, ...] = ()) -> Iterator[tuple[int, str, str, str]]:
-    """(flag, id, seq, qual) of each record, checked to be an unaligned primary read."""
-    with gzip.open(path) as f:
+def records(path: str, keep: tuple[str, ...] = (), content: bytes | None = None) -> Iterator[tuple[int, str, str, str]]:
+    """(flag, id, seq, qual) of each record of a file, or of its content, checked to be an unaligned primary read."""
+    with gzip.open(path if content is None else io.BytesIO(content)) as f:
         read_header(f)
         n = 0
         while head := f.read(4):
@@ -85,11 +88,11 @@ def records(path: str, keep: tuple[str, ...] = ()) -> Iterator[tuple[int, str, s
             at += (l_seq + 1) // 2
             if not name or name == "*" or not l_seq:
                 raise FormatError(f"{where} has no name or no bases")
-            seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq]
+            seq = "".join(map(_TWO.__getitem__, packed))[:l_seq]
             if "=" in seq:
                 raise FormatError(f"{where} has '=' for a base")
             raw = body[at : at + l_seq]
-            qual = "!" * l_seq if all(q == 0xFF for q in raw) else bytes(min(q, 93) + 33 for q in raw).decode("ascii")
+            qual = "!" * l_seq if raw == b"\xff" * l_seq else raw.translate(_SHOWN).decode("ascii")
             tail = ""
             if keep:
                 tags = parse_tags(body[at + l_seq :])
@@ -152,8 +155,39 @@ def read_ubam(spark: SparkSession, *paths: str, tags: tuple[str, ...] = ()) -> D
     return spark.read.format("ubam").option("tags", ",".join(tags)).load(",".join(paths))
 
 
+def read_ubam_store(spark: SparkSession, path: str, tags: tuple[str, ...] = ()) -> DataFrame:
+    """(rec_idx, flag, id, seq, qual) of a BAM file, or of a folder of parts, in any store that Spark reads; a task reads a
+    part. rec_idx goes on from part to part, in the order of their names; the counts are a row for each part."""
+    files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "content")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                held = []
+                for k, rec in enumerate(records(name, tags, content.as_py())):
+                    held.append((name, k, *rec))
+                    if len(held) == BATCH:
+                        yield batch_of(held)
+                        held = []
+                if held:
+                    yield batch_of(held)
+
+    def batch_of(held: list) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=["file", "place", "flag", "id", "seq", "qual"])
+
+    rows = files.mapInArrow(run, "file string, place long, flag int, id string, seq string, qual string")
+    base, bases = 0, []
+    for name, n in sorted((r[0], r[1]) for r in rows.groupBy("file").agg(F.count(F.lit(1))).collect()):
+        bases.append((name, base))
+        base += n
+    shared = spark.createDataFrame(bases, "file string, base long")
+    return rows.join(F.broadcast(shared), "file").select((F.col("base") + F.col("place")).alias("rec_idx"), "flag", "id", "seq", "qual")
+
+
 def read_ubam_sides(spark: SparkSession, path: str, tags: tuple[str, ...] = ()) -> DataFrame:
     """Adds side (1 or 2) by flags 0x40 and 0x80, of which exactly one must be set."""
     bits = F.col("flag").bitwiseAND(0xC0)
     side = F.when(bits == 0x40, 1).when(bits == 0x80, 2).otherwise(F.raise_error(F.concat(F.lit("neither or both mates: "), F.col("id"))))
-    return read_ubam(spark, path, tags=tags).withColumn("side", side)
+    reads = read_ubam_store(spark, path, tags) if "://" in path else read_ubam(spark, path, tags=tags)
+    return reads.withColumn("side", side)

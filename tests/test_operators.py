@@ -165,7 +165,7 @@ def test_probe_counts_the_capping_read_unseen(spark):
 
 def test_detection(spark):
     none = detect.detect(frame(spark, "ACGT", "GGGG"))
-    assert none.adapters == (("Illumina", I13),) and "Defaulting" in none.message
+    assert none.adapters == (("Illumina", I13),) and "None of the probed" in none.message
     nextera = frame(spark, "ACCTGTCTCTTATA", "CTGTCTCTTATA", I13)
     assert detect.detect(nextera).adapters[0][0] == "Nextera"
     off = detect.detect(nextera, consider_already_trimmed=2)
