@@ -24,9 +24,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import batches_of, materialize, mix64, shuffle_parts, table, text_bytes
+from .common import batches_of, materialize, mix64, shuffle_parts, spread_join, table, text_bytes
 
 LENGTH = 100
 GRAM = 24
@@ -37,6 +36,8 @@ HOT_BYTES = 4 << 20  # only periodic segments are longer than 2 * LENGTH - GRAM
 PIECE = 4096  # strings of a long segment that are looked at at once
 _NONE = np.uint64(np.iinfo(np.uint64).max)
 LAST = (1 << 63) - 1
+KEY = ["ord", "h", "g"]  # of a text: doc_id, and 128 bits of hashes that tell texts of one id, and equal texts, apart
+KEYS = ", ".join(f"{c} long" for c in KEY)
 
 
 # ------------------------------------------------------------------ minimizers
@@ -293,21 +294,21 @@ def runs(places: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
 
 
 def _deal(texts: DataFrame, length: int) -> DataFrame:
-    """Segments whose minimizer is in `wanted`: (kind 0, minimizer, ord, h, start, bytes), the first in its task of
-    equal ones; or (kind 1, ord, h, start, stop): bytes of a segment that an earlier one in the task equals."""
+    """Segments whose minimizer is in `wanted`: (kind 0, minimizer, KEY, start, bytes), the first in its task of
+    equal ones; or (kind 1, KEY, start, stop): bytes of a segment that an earlier one in the task equals."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        known: dict[bytes, tuple[int, int, int]] = {}
+        known: dict[bytes, tuple[int, int, int, int]] = {}
         salt = lambda row: mix64(row.astype(np.uint64) + np.uint64(1))
         for batch in batches_of(it, 1 << 20, "z"):
             out: list[tuple] = []
-            order, hashes = batch.column("ord").to_pylist(), batch.column("h").to_pylist()
+            of_text = list(zip(*(batch.column(c).to_pylist() for c in KEY), strict=True))
             texts = [unpack.decompress(z) for z in batch.column("z").to_pylist()]
             data, offsets = b"".join(texts), np.cumsum(np.r_[0, [len(x) for x in texts]])
             row, start, end, m, _ = segments(np.frombuffer(data, np.uint8), offsets, length)
             wanted = batch.column("wanted")
-            of = np.repeat(np.arange(len(order)), np.diff(np.asarray(wanted.offsets)))
+            of = np.repeat(np.arange(len(of_text)), np.diff(np.asarray(wanted.offsets)))
             # a chance hit deals out a segment in vain, no more
             want = np.isin(m ^ salt(row), np.asarray(wanted.flatten()).view(np.uint64) ^ salt(of))
             row, start, end, m = row[want], start[want], end[want] + length - 1, m[want].astype(np.int64)
@@ -315,35 +316,35 @@ def _deal(texts: DataFrame, length: int) -> DataFrame:
             for r, s, e, v, at in zip(row.tolist(), start.tolist(), end.tolist(), m.tolist(), place.tolist(), strict=True):
                 piece = data[s:e]
                 mark = hashlib.blake2b(piece, digest_size=16).digest()
-                here = (order[r], hashes[r], at)
+                here = (*of_text[r], at)
                 if (seen := known.get(mark)) is not None and seen < here:
                     out.append((1, None, *here, at + e - s, None))
                 else:  # an earlier one: what was sent before it is found to repeat it in the shard
                     if len(known) < 400_000 or seen is not None:
                         known[mark] = here
                     out.append((0, v, *here, at + e - s, piece))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "minimizer", "ord", "h", "start", "stop", "bytes"])
+            cols = list(zip(*out, strict=True)) if out else [[]] * 8
+            kinds = (pa.int8(), *[pa.int64()] * 6, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "minimizer", *KEY, "start", "stop", "bytes"])
 
-    return texts.mapInArrow(run, "kind byte, minimizer long, ord long, h long, start long, stop long, bytes binary")
+    return texts.mapInArrow(run, f"kind byte, minimizer long, {KEYS}, start long, stop long, bytes binary")
 
 
 def _shards(dealt: DataFrame, length: int, memory: int) -> DataFrame:
-    """(ord, h, start, stop) of repeats among the segments; a task builds suffix arrays of whole minimizers in turn."""
+    """(KEY, start, stop) of repeats among the segments; a task builds suffix arrays of whole minimizers in turn."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            order, h, start, stop = (np.asarray(t.column(c)) for c in ("ord", "h", "start", "stop"))
-            by = np.lexsort((start, h, order))
-            order, h, start, stop = order[by], h[by], start[by], stop[by]
+            places = [np.asarray(t.column(c)) for c in (*KEY, "start", "stop")]
+            by = np.lexsort(places[3::-1])
+            places = [x[by] for x in places]
             joined = t.column("bytes").combine_chunks().take(pa.array(by))
             code = np.asarray(joined.dictionary_encode().indices)
             first = np.diff(np.maximum.accumulate(code), prepend=-1) > 0  # codes are numbered as they come
             again = ~first  # equal to an earlier segment as a whole
-            whole = [order[again], h[again], start[again], stop[again]]
-            order, h, start, stop = order[first], h[first], start[first], stop[first]
+            whole = [x[again] for x in places]
+            *text, start, stop = (x[first] for x in places)
             raw, offsets = text_bytes(joined.filter(pa.array(first)))
             space = Space(memory)
             found = repeats(raw, offsets[:-1], offsets[:-1] + (stop - start) - length + 1, length, space)
@@ -354,8 +355,8 @@ def _shards(dealt: DataFrame, length: int, memory: int) -> DataFrame:
             last = np.r_[new[1:], len(found)] - 1 if len(found) else new
             seg, a, b = k[new], found[new], found[last] + length
             shift = start[seg] - offsets[seg]
-            cols = [np.concatenate(x) for x in zip(whole, (order[seg], h[seg], a + shift, b + shift), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["ord", "h", "start", "stop"])
+            cols = [np.concatenate(x) for x in zip(whole, (*(x[seg] for x in text), a + shift, b + shift), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=[*KEY, "start", "stop"])
 
         held: list[pa.RecordBatch] = []
         size, last = 0, None
@@ -374,11 +375,11 @@ def _shards(dealt: DataFrame, length: int, memory: int) -> DataFrame:
             yield of(held)
 
     by = dealt.repartition(shuffle_parts(dealt), "minimizer").sortWithinPartitions("minimizer")
-    return by.select("minimizer", "ord", "h", "start", "stop", "bytes").mapInArrow(run, "ord long, h long, start long, stop long")
+    return by.select("minimizer", *KEY, "start", "stop", "bytes").mapInArrow(run, f"{KEYS}, start long, stop long")
 
 
 def _hot(dealt: DataFrame, length: int) -> DataFrame:
-    """(ord, h, start, stop) of repeats among segments of very frequent minimizers: every string by its hash, its first
+    """(KEY, start, stop) of repeats among segments of very frequent minimizers: every string by its hash, its first
     place by an aggregate that is combined before the shuffle; all other places are repeats."""
 
     def strings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,10 +389,10 @@ def _hot(dealt: DataFrame, length: int) -> DataFrame:
 
     def cut(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
         held, size = [], 0
-        for o, h, start, p in zip(*(batch.column(c).to_pylist() for c in ("ord", "h", "start", "bytes")), strict=True):
+        for *text, start, p in zip(*(batch.column(c).to_pylist() for c in (*KEY, "start", "bytes")), strict=True):
             for at in range(0, len(p) - length + 1, PIECE):
-                held.append((o, h, start + at, p[at : at + PIECE + length - 1]))
-                size += len(held[-1][3])
+                held.append((*text, start + at, p[at : at + PIECE + length - 1]))
+                size += len(held[-1][-1])
                 if size > 256 << 10:
                     yield held
                     held, size = [], 0
@@ -402,18 +403,18 @@ def _hot(dealt: DataFrame, length: int) -> DataFrame:
         *places, pieces = zip(*batch, strict=True)
         n = np.array([len(p) - length + 1 for p in pieces])
         marks = [hashlib.blake2b(p[i : i + length], digest_size=16).digest() for p in pieces for i in range(len(p) - length + 1)]
-        order, h, start = (np.repeat(np.array(x, np.int64), n) for x in places)
+        *text, start = (np.repeat(np.array(x, np.int64), n) for x in places)
         at = start + np.arange(len(marks)) - np.repeat(np.cumsum(n) - n, n)
-        return pa.RecordBatch.from_arrays([pa.array(order), pa.array(h), pa.array(start), pa.array(at), pa.array(marks, pa.binary())], names=["ord", "h", "segment", "at", "mark"])
+        return pa.RecordBatch.from_arrays([*map(pa.array, text), pa.array(start), pa.array(at), pa.array(marks, pa.binary())], names=[*KEY, "segment", "at", "mark"])
 
-    each = dealt.select("ord", "h", "start", "bytes").mapInArrow(strings, "ord long, h long, segment long, at long, mark binary")
-    first = each.groupBy(F.hex("mark").alias("mark")).agg(F.min(F.struct("ord", "h", "at", "segment")).alias("x")).select("x.ord", "x.h", F.col("x.segment").alias("start"), F.col("x.at").alias("at"))
-    kept = first.groupBy("ord", "h", "start").agg(F.collect_list("at").alias("kept"))
+    each = dealt.select(*KEY, "start", "bytes").mapInArrow(strings, f"{KEYS}, segment long, at long, mark binary")
+    first = each.groupBy(F.hex("mark").alias("mark")).agg(F.min(F.struct(*KEY, "at", "segment")).alias("x")).select(*[f"x.{c}" for c in KEY], F.col("x.segment").alias("start"), F.col("x.at").alias("at"))
+    kept = first.groupBy(*KEY, "start").agg(F.collect_list("at").alias("kept"))
     starts = F.sequence("start", F.col("stop") - length, F.lit(PIECE).cast("long"))
-    all_ = dealt.select("ord", "h", F.explode(starts).alias("start"), "stop").withColumn("stop", F.least("stop", F.col("start") + PIECE + length - 1))
-    all_ = all_.join(kept, ["ord", "h", "start"], "left")
+    all_ = dealt.select(*KEY, F.explode(starts).alias("start"), "stop").withColumn("stop", F.least("stop", F.col("start") + PIECE + length - 1))
+    all_ = all_.join(kept, [*KEY, "start"], "left")
     places = F.array_except(F.sequence("start", F.col("stop") - length), F.coalesce("kept", F.array().cast("array<long>")))
-    return all_.select("ord", "h", F.explode(places).alias("start")).withColumn("stop", F.col("start") + length)
+    return all_.select(*KEY, F.explode(places).alias("start")).withColumn("stop", F.col("start") + length)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY, hot: int = HOT, row: Column | None = None, with_text: bool = False, tag: str = "suffix") -> DataFrame:
@@ -425,7 +426,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY, hot: int
     what to carry (default doc_id); `with_text` adds the bytes that remain.
     """
     base = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), (F.col("doc_id") if row is None else row).alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("h", F.xxhash64("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    base = base.withColumn("h", F.xxhash64("text")).withColumn("g", F.xxhash64(F.lit(1), "text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
 
     def minimizers(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(it):
@@ -440,33 +441,33 @@ def dedup(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY, hot: int
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches_of(it):
             packed = [z.compress(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("h"), pa.array(packed, pa.binary())], names=["ord", "h", "z"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array(packed, pa.binary())], names=[*KEY, "z"])
 
     long_ = base.filter(F.col("n_bytes") >= length)
-    found = long_.select("text", "h").mapInArrow(minimizers, "minimizer long, h long, multi boolean")
-    w = Window.partitionBy("minimizer")
-    shared = found.withColumn("x", F.min("h").over(w)).withColumn("y", F.max("h").over(w)).withColumn("z", F.max("multi").over(w))
-    shared = shared.filter("x <> y or z").select("minimizer", "h")
+    found = materialize(long_.select("text", "h").mapInArrow(minimizers, "minimizer long, h long, multi boolean"), f"{tag}-minimizers")
+    several = found.groupBy("minimizer").agg(F.count(F.lit(1)).alias("_n"), F.min("h").alias("x"), F.max("h").alias("y"), F.max("multi").alias("z"))
+    several = materialize(several.filter("x <> y or z").select("minimizer", "_n"), f"{tag}-shared")
+    shared = spread_join(found.select("minimizer", "h"), several.select("minimizer"), "minimizer", several, "inner")
     wanted = materialize(shared.groupBy("h").agg(F.collect_set("minimizer").alias("wanted")), f"{tag}-wanted")  # as long as a text
-    reps = materialize(base.groupBy("h").agg(F.min("ord").alias("first")), f"{tag}-first")
-    packed = long_.select("ord", "h", "text").mapInArrow(pack, "ord long, h long, z binary")
-    want = wanted.join(reps, "h").select("h", F.col("first").alias("ord"), "wanted")
-    once = packed.join(want, ["h", "ord"]).dropDuplicates(["h", "ord"])  # else a repeated row would repeat itself
-    dealt = materialize(_deal(once.select("ord", "h", "z", "wanted"), length), f"{tag}-dealt")
+    reps = materialize(base.groupBy("h", "g").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("_n")), f"{tag}-first")
+    packed = long_.select(*KEY, "text").mapInArrow(pack, f"{KEYS}, z binary")
+    want = wanted.join(reps, "h").select("h", "g", F.col("first").alias("ord"), "wanted")
+    once = packed.join(want, KEY).dropDuplicates(KEY)  # else a repeated row would repeat itself
+    dealt = materialize(_deal(once.select(*KEY, "z", "wanted"), length), f"{tag}-dealt")
     sent = dealt.filter("kind = 0")
     common = materialize(sent.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop") - F.col("start")).alias("size")).filter((F.col("n") > hot) | (F.col("size") > HOT_BYTES)).select("minimizer"), f"{tag}-hot")
     few = common.isEmpty()
     spans = _shards(sent if few else sent.join(common, "minimizer", "left_anti"), length, memory)
     if not few:
         spans = spans.unionByName(_hot(sent.join(common, "minimizer", "left_semi"), length))
-    spans = spans.unionByName(dealt.filter("kind = 1").select("ord", "h", "start", "stop"))
-    spans = materialize(spans.groupBy("ord", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), f"{tag}-spans")  # as long as a text
+    spans = spans.unionByName(dealt.filter("kind = 1").select(*KEY, "start", "stop"))
+    spans = materialize(spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans")), f"{tag}-spans")  # as long as a text
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in it:
             rows = []
-            for order, h, z, own in zip(batch.column("ord").to_pylist(), batch.column("h").to_pylist(), batch.column("z").to_pylist(), batch.column("spans"), strict=True):
+            for *text, z, own in zip(*(batch.column(c).to_pylist() for c in (*KEY, "z")), batch.column("spans"), strict=True):
                 data = unpack.decompress(z)
                 a = np.stack([np.asarray(own.values.field(k)) for k in ("start", "stop")])
                 a = a[:, np.argsort(a[0], kind="stable")]
@@ -478,16 +479,17 @@ def dedup(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY, hot: int
                     kept.append(data[at:x])
                     at = y
                 kept = b"".join([*kept, data[at:]])
-                rows.append((order, h, int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["ord", "h", "_removed", "_spans", "_sha", "_kept"])
-
-    again = packed.join(spans, ["h", "ord"]).select("ord", "h", "z", "spans")
-    cuts = materialize(again.dropDuplicates(["ord", "h"]).mapInArrow(cut, "ord long, h long, _removed long, _spans long, _sha string, _kept binary"), f"{tag}-cuts")
-    info = reps.join(cuts.withColumnRenamed("ord", "first"), ["h", "first"], "left")
-    own = ["ord", "h", "_row", "n_bytes", *["text"] * with_text]
-    rows = base.withColumn("_whole", F.sha2("text", 256)).select(*own, "_whole").join(info, "h")
+                rows.append((*text, int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = (*[pa.int64()] * 5, pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[*KEY, "_removed", "_spans", "_sha", "_kept"])
+
+    again = packed.join(spans, KEY).select(*KEY, "z", "spans")
+    cuts = materialize(again.dropDuplicates(KEY).mapInArrow(cut, f"{KEYS}, _removed long, _spans long, _sha string, _kept binary"), f"{tag}-cuts")
+    info = reps.join(cuts.withColumnRenamed("ord", "first"), ["h", "g", "first"], "left")
+    text_key, whole = F.struct("h", "g").alias("_text"), F.sha2("text", 256).alias("_whole")
+    own = base.select("ord", text_key, "_row", "n_bytes", *["text"] * with_text, whole)
+    rows = spread_join(own, info.select(text_key, "first", "_removed", "_spans", "_sha", "_kept"), "_text", reps.select(text_key, "_n"), "inner")
     copy = (F.col("ord") != F.col("first")) & (F.col("n_bytes") >= length)
     pick = lambda a, b, c: F.when(copy, a).when(F.col("_removed").isNotNull(), b).otherwise(c)
     cols = [
