@@ -25,6 +25,7 @@ from .common import materialize, shuffle_parts, table
 K = 20
 BLOCK = 2048
 BUCKET = 256
+FULL = 8  # blocks that a task fills before there are more tasks: cells of few blocks would be shipped more often
 SEEDED = 64  # dimensions that start from a bound; the others find theirs on the way
 HELD = 2048  # dimensions by query blocks that a task holds: 32 MiB of vectors
 MET = 256  # candidate blocks, at most, that a task then reads one by one
@@ -42,7 +43,8 @@ def _blocks(rows: DataFrame, tag: str) -> DataFrame:
     """(dim, block, n, norm, ids, data): rows (id, v array<double>) of one dimension, longest first, BLOCK at a time."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     order = rows.withColumn("norm", norm).withColumn("dim", F.size("v"))
-    order = order.repartitionByRange(shuffle_parts(rows), "dim", F.desc("norm"), "id").sortWithinPartitions("dim", F.desc("norm"), "id")
+    parts = max(1, min(shuffle_parts(rows), -(-rows.count() // (BLOCK * FULL))))
+    order = order.repartitionByRange(parts, "dim", F.desc("norm"), "id").sortWithinPartitions("dim", F.desc("norm"), "id")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
