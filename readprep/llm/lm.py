@@ -140,12 +140,9 @@ def expect(out: np.ndarray, weights: np.ndarray, bias: np.ndarray, f: list[np.nd
     z, total = exponentials(weights, bias, f)
     z *= (np.float32(SCALE) / total)[:, None]
     z += np.float32(0.5)
-    q, place = z.astype(np.int32), np.arange(len(z))
+    q, lane = z.astype(np.int32).reshape(-1), np.arange(z.shape[1])
     for own in f:
-        key = np.sort((own << 32) | place)
-        at, order = key >> 32, key & 0xFFFFFFFF
-        cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        out[at[cut]] += np.add.reduceat(q.take(order, 0), cut, 0)
+        np.add.at(out.reshape(-1), ((own * len(lane))[:, None] + lane).reshape(-1), q)
 
 
 def first_weights(n: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -262,10 +259,11 @@ def count_features(model: Model, row: np.ndarray, ids: np.ndarray, tables: list[
     """How often each feature row occurs with each class, and with each slot."""
     for _, cls, slot, f, g in model.places(row, ids):
         first, second = (t.reserve(len(cls)).reshape(-1) for t in tables)
+        one = np.ones(len(cls), np.int32)  # of the tables' own type, or each sum is converted
         for x in f:
-            np.add.at(first, x * CLASSES + cls, 1)
+            np.add.at(first, x * CLASSES + cls, one)
         for x in g:
-            np.add.at(second, x * SLOTS + slot, 1)
+            np.add.at(second, x * SLOTS + slot, one)
 
 
 def expect_features(model: Model, row: np.ndarray, ids: np.ndarray, tables: list[Sums]) -> None:
