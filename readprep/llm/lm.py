@@ -140,9 +140,10 @@ def expect(out: np.ndarray, weights: np.ndarray, bias: np.ndarray, f: list[np.nd
     z, total = exponentials(weights, bias, f)
     z *= (np.float32(SCALE) / total)[:, None]
     z += np.float32(0.5)
-    q, lane = z.astype(np.int32).reshape(-1), np.arange(z.shape[1])
+    # two sums of 32 bits at a time: all are positive and stay under 2^31, so none is carried into the next
+    q, lane = z.astype(np.int32).view(np.int64).reshape(-1), np.arange(z.shape[1] // 2)
     for own in f:
-        np.add.at(out.reshape(-1), ((own * len(lane))[:, None] + lane).reshape(-1), q)
+        np.add.at(out.view(np.int64).reshape(-1), ((own * len(lane))[:, None] + lane).reshape(-1), q)
 
 
 def first_weights(n: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -269,7 +270,8 @@ def count_features(model: Model, row: np.ndarray, ids: np.ndarray, tables: list[
 def expect_features(model: Model, row: np.ndarray, ids: np.ndarray, tables: list[Sums]) -> None:
     """What the model expects of the same, in units of 1 / SCALE."""
     for _, cls, _, f, g in model.places(row, ids):
-        expect(tables[0].reserve(len(cls)), model.class_weights, model.class_bias, f)
+        met = sum(int(np.count_nonzero(x == y)) for k, x in enumerate(f) for y in f[:k])  # these add to one row more than once
+        expect(tables[0].reserve(len(cls) + met), model.class_weights, model.class_bias, f)
         expect(tables[1].reserve(len(cls)), model.slot_weights, model.slot_bias[cls], g)
 
 

@@ -782,6 +782,26 @@ def test_sums_do_not_overflow():
     assert t.total().tolist() == [[0, 7 * lm.MOST * int(lm.SCALE)]] and t.total()[0, 1] > 2**31
 
 
+def test_expectations_equal_plain_sums(monkeypatch):
+    """Tokens whose features share a row count each time, and 32 bits are left before they overflow."""
+    rng = np.random.default_rng(8)
+    row, ids = lm.tokens(pa.array(["a a " * 3000, sentence(4, 900), None], pa.string()))
+    model = lm.Model(lm.Heads(*np.unique(ids, return_counts=True)), 2, rng.standard_normal(lm.CLASSES).astype(np.float32), rng.standard_normal((lm.CLASSES, lm.SLOTS)).astype(np.float32))
+    model.class_weights = rng.standard_normal((2, lm.CLASSES)).astype(np.float32)
+    model.slot_weights = rng.standard_normal((2, lm.SLOTS)).astype(np.float32)
+    monkeypatch.setattr(lm, "BATCH", 512)
+    monkeypatch.setattr(lm, "MOST", 2500)
+    tables = [lm.Sums(2, lm.CLASSES), lm.Sums(2, lm.SLOTS)]
+    lm.expect_features(model, row, ids, tables)
+    want = np.zeros((2, lm.CLASSES), np.int64)
+    for _, _, _, f, _ in model.places(row, ids):
+        z, total = lm.exponentials(model.class_weights, model.class_bias, f)
+        q = (z * (np.float32(lm.SCALE) / total)[:, None] + np.float32(0.5)).astype(np.int64)
+        for x in f:
+            np.add.at(want, x, q)
+    assert (tables[0].total() == want).all()
+
+
 def test_weights_stay_finite():
     n = np.array([[10**12, 0, 5], [0, 0, 0], [1, 1, 1]])
     w = lm.first_weights(n, np.array([1e-7, 0.5, 0.5], np.float32))
