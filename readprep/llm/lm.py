@@ -8,7 +8,9 @@ smoothed counts, whatever the context.
 
 Training takes two distributed rounds over all training texts. The first counts features with classes and slots, which
 starts the weights. The second sums the expectations under these weights, and with them the gradient, and takes one step
-scaled by its curvature. All that tasks add up are integers, so scores don't depend on splits, order or reruns.
+scaled by its curvature. A slot's distribution depends on its feature row and class alone, so the first round counts these
+pairs and the slots' expectations follow from their counts, a distribution a pair in place of one a token. All that
+tasks add up are integers, so scores don't depend on splits, order or reruns.
 
 Feature rows grow with the vocabulary, from 2^14 to MAX_ROWS, which bounds what is broadcast. Counts of words are exact.
 Words of at least 1 in FREQUENT training tokens are at most FREQUENT many and are broadcast with their counts; the
@@ -211,10 +213,10 @@ def _count(docs: DataFrame, tag: str) -> DataFrame:
     return materialize(docs.select("text").mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")), tag)
 
 
-def _summed(docs: DataFrame, model: Model, add: Callable[[Model, np.ndarray, np.ndarray, list[Sums]], None]) -> list[np.ndarray]:
-    """What `add` adds up over all texts, in tables of (model.rows, CLASSES) and (model.rows, SLOTS) integers."""
+def _summed(docs: DataFrame, model: Model, widths: tuple[int, ...], add: Callable[[Model, np.ndarray, np.ndarray, list[Sums]], None]) -> list[np.ndarray]:
+    """What `add` adds up over all texts, in tables of model.rows rows of integers, as wide as given."""
     spark = docs.sparkSession
-    shared, widths = spark.sparkContext.broadcast(model), (CLASSES, SLOTS)
+    shared = spark.sparkContext.broadcast(model)
 
     def own(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, tables = shared.value, [Sums(shared.value.rows, w) for w in widths]
@@ -242,7 +244,7 @@ def _summed(docs: DataFrame, model: Model, add: Callable[[Model, np.ndarray, np.
         yield packed([(*key, z.compress(x.tobytes())) for key, x in sums.items()])
 
     kind = "kind int, block int, sums binary"
-    left, blocks = docs.rdd.getNumPartitions(), 2 * (model.rows // BLOCK_ROWS)
+    left, blocks = docs.rdd.getNumPartitions(), len(widths) * (model.rows // BLOCK_ROWS)
     summed = docs.select("text").mapInArrow(own, kind)
     while left > 1:  # a tree: a task adds about FAN blocks of a place, however many tasks made some
         left = -(-left // FAN)
@@ -257,22 +259,37 @@ def _summed(docs: DataFrame, model: Model, add: Callable[[Model, np.ndarray, np.
 
 
 def count_features(model: Model, row: np.ndarray, ids: np.ndarray, tables: list[Sums]) -> None:
-    """How often each feature row occurs with each class, and with each slot."""
+    """How often each class feature row occurs with each class, and each slot feature row with each slot and each class."""
     for _, cls, slot, f, g in model.places(row, ids):
-        first, second = (t.reserve(len(cls)).reshape(-1) for t in tables)
+        first, second, third = (t.reserve(len(cls)).reshape(-1) for t in tables)
         one = np.ones(len(cls), np.int32)  # of the tables' own type, or each sum is converted
         for x in f:
             np.add.at(first, x * CLASSES + cls, one)
         for x in g:
             np.add.at(second, x * SLOTS + slot, one)
+            np.add.at(third, x * CLASSES + cls, one)
 
 
 def expect_features(model: Model, row: np.ndarray, ids: np.ndarray, tables: list[Sums]) -> None:
-    """What the model expects of the same, in units of 1 / SCALE."""
-    for _, cls, _, f, g in model.places(row, ids):
+    """How often the model expects each class feature row with each class, in units of 1 / SCALE."""
+    ctx = contexts(row, ids)
+    for at in range(0, len(ids), BATCH):
+        f = class_rows(ctx[:, at : at + BATCH], model.rows)
         met = sum(int(np.count_nonzero(x == y)) for k, x in enumerate(f) for y in f[:k])  # these add to one row more than once
-        expect(tables[0].reserve(len(cls) + met), model.class_weights, model.class_bias, f)
-        expect(tables[1].reserve(len(cls)), model.slot_weights, model.slot_bias[cls], g)
+        expect(tables[0].reserve(len(f[0]) + met), model.class_weights, model.class_bias, f)
+
+
+def expected_slots(weights: np.ndarray, bias: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How often the model expects each slot feature row with each slot, in units of 1 / SCALE, by the counts n of its
+    tokens of each class."""
+    out = np.zeros(weights.shape)
+    for at in range(0, len(n), BLOCK_ROWS):
+        r, k = np.nonzero(n[at : at + BLOCK_ROWS])
+        if len(r):
+            z, total = exponentials(weights, bias[k], [r + at])
+            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            out[r[first] + at] = np.add.reduceat(z * (SCALE * n[r + at, k] / total)[:, None], first, 0)
+    return out
 
 
 def rows_for(distinct: int) -> int:
@@ -286,11 +303,12 @@ def train(docs: DataFrame, heads: Heads, leaves: np.ndarray, rows: int) -> Model
     class_bias = np.log((by_class + 1) / (by_class.sum() + CLASSES)).astype(np.float32)
     slot_bias = np.log((leaves + 0.5) / (by_class[:, None] + 0.5 * SLOTS)).astype(np.float32)
     model = Model(heads, rows, class_bias, slot_bias)
-    counts = _summed(docs, model, count_features)
+    counts = _summed(docs, model, (CLASSES, SLOTS, CLASSES), count_features)
     slots = (leaves.sum(0) + 1) / (leaves.sum() + SLOTS)
     model.class_weights, model.slot_weights = first_weights(counts[0], np.exp(class_bias)), first_weights(counts[1], slots.astype(np.float32))
-    expected = _summed(docs, model, expect_features)
-    model.class_weights, model.slot_weights = step(model.class_weights, counts[0], expected[0]), step(model.slot_weights, counts[1], expected[1])
+    (expected,) = _summed(docs, model, (CLASSES,), expect_features)
+    slots = expected_slots(model.slot_weights, slot_bias, counts[2])
+    model.class_weights, model.slot_weights = step(model.class_weights, counts[0], expected), step(model.slot_weights, counts[1], slots)
     return model
 
 

@@ -791,15 +791,19 @@ def test_expectations_equal_plain_sums(monkeypatch):
     model.slot_weights = rng.standard_normal((2, lm.SLOTS)).astype(np.float32)
     monkeypatch.setattr(lm, "BATCH", 512)
     monkeypatch.setattr(lm, "MOST", 2500)
-    tables = [lm.Sums(2, lm.CLASSES), lm.Sums(2, lm.SLOTS)]
+    tables = [lm.Sums(2, lm.CLASSES)]
     lm.expect_features(model, row, ids, tables)
-    want = np.zeros((2, lm.CLASSES), np.int64)
-    for _, _, _, f, _ in model.places(row, ids):
+    want, n, slots = np.zeros((2, lm.CLASSES), np.int64), np.zeros((2, lm.CLASSES), np.int64), np.zeros((2, lm.SLOTS))
+    for _, cls, _, f, g in model.places(row, ids):
+        z, total = lm.exponentials(model.slot_weights, model.slot_bias[cls], g)
+        np.add.at(slots, g[0], lm.SCALE * z / total[:, None])
+        np.add.at(n, (g[0], cls), 1)
         z, total = lm.exponentials(model.class_weights, model.class_bias, f)
         q = (z * (np.float32(lm.SCALE) / total)[:, None] + np.float32(0.5)).astype(np.int64)
         for x in f:
             np.add.at(want, x, q)
     assert (tables[0].total() == want).all()
+    assert np.allclose(lm.expected_slots(model.slot_weights, model.slot_bias, n), slots, rtol=1e-4)
 
 
 def test_weights_stay_finite():
