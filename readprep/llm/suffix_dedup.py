@@ -164,8 +164,7 @@ class Induction:
         by = np.argsort(chars, kind="stable")
         n = np.bincount(chars, minlength=self.sigma)
         first = np.r_[0, np.cumsum(n)][:-1]
-        rank = np.arange(len(before)) - np.repeat(first, n)
-        self.order[np.repeat(fill, n) + step * rank] = before[by]
+        self.order[np.repeat(fill - step * first, n) + step * np.arange(len(before))] = before[by]
         fill += step * n
 
     def run(self, sorted_lms: np.ndarray) -> np.ndarray:
@@ -255,15 +254,16 @@ def repeats(text: bytes | np.ndarray, starts: np.ndarray, ends: np.ndarray, leng
     sizes = ends - starts + length - 1
     out_at = np.cumsum(np.r_[0, sizes + 1])
     n = int(out_at[-1])
-    own = np.zeros(n + 1, np.int16)
+    sigma = 2 + int(raw.max(initial=0))  # UTF-8 has no byte 255, so characters of 8 bits do, which sort in one pass
+    own = np.zeros(n + 1, np.uint8 if sigma <= 256 else np.int16)
     shift = np.repeat(starts - out_at[:-1], sizes)
     at = np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)
-    own[at] = raw[at + shift].astype(np.int16) + 1
+    own[at] = raw[at + shift].astype(own.dtype) + 1
     flag = np.zeros(n + 1, bool)
     np.add.at(edge := np.zeros(n + 2, np.int32), out_at[:-1], 1)
     np.add.at(edge, out_at[:-1] + (ends - starts), -1)
     flag[:] = np.cumsum(edge[: n + 1]) > 0
-    order = suffix_array(own, 257, length, space)
+    order = suffix_array(own, sigma, length, space)
     order = np.concatenate([x[flag[x]] for x in (np.array(order[i : i + (1 << 20)]) for i in range(0, len(order), 1 << 20))])
     if len(order) < 2:
         return np.zeros(0, np.int64)
