@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import contextlib
 import contextvars
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -198,6 +200,31 @@ def batches_of(it, most_bytes: int = 2 << 20, column: str = "text"):
             yield batch.slice(at, step)
 
 
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def release() -> None:
+    """Give the memory that this process holds but doesn't use back to the system: cached powers, Arrow's pool, free pages of the heap."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def released(kernel: Kernel) -> Kernel:
+    """An Arrow kernel after whose task the worker is as small as before it. Workers are kept for later tasks, and for a
+    minute when idle; else each holds on to what its largest task took, beside the heap of the executor."""
+
+    @functools.wraps(kernel)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(it)
+        finally:
+            release()
+
+    return run
+
+
 # ------------------------------------------------------------------ connected components
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, components, materialize, mix64, shuffle_parts, spread_join, table, text_bytes, words_of
+from .common import batches_of, components, materialize, mix64, released, shuffle_parts, spread_join, table, text_bytes, words_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -109,6 +109,7 @@ def _sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, tag: str) -> Data
     want = ids.join(classes.select("id", "rep", "_key"), "id")
     texts = docs.join(want, [docs["_doc"].eqNullSafe(F.col("rep")), docs["_key"] == want["_key"]]).select("id", "_text")
 
+    @released
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(it, column="_text"):
             raw, offsets = text_bytes(batch.column("_text"))
@@ -134,6 +135,7 @@ def _held(edges: DataFrame, data: DataFrame, alike: Callable[[bytes, bytes], boo
     many = ends.join(data.withColumnRenamed("id", "b").hint("merge"), "b").select("a", "salt", "b", "x")
     dealt = one.unionByName(many).repartition(shuffle_parts(edges), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
+    @released
     def hold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, b""
         for batch in it:
@@ -196,6 +198,7 @@ def _cross(members: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataF
     keys = ["band", "key", "lo", "hi"]
     dealt = rows.select(*keys, "mine", "id", "component", "sig", "s").repartition(*keys).sortWithinPartitions(*keys)
 
+    @released
     def links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(group: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(group)
@@ -236,6 +239,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tag: str = "m
     base = docs.select(F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"))
     base = base.withColumn("_key", text_key("_text"))
 
+    @released
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(it, column="_text"):
             sig, has = sign(batch.column("_text"))

@@ -9,9 +9,10 @@ added to, or cut from, one document of the source.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import PARTS, SPACE, WORD, materialize, part_of, ranked, table
@@ -29,10 +30,12 @@ def size_of(text: Column) -> Column:
 def targets(spark: SparkSession, cells: DataFrame, weights: tuple[float, ...], cap: int) -> DataFrame:
     """(_key, source_size, _docs, target) by source; cells: (_key, size, _n)."""
     src = cells.groupBy("_key").agg(F.sum(F.col("_n") * F.col("size")).alias("source_size"), F.sum("_n").alias("_docs"))
-    src = materialize(src, "mix-sources")
-    # zipWithIndex numbers the sorted sources over any number of tasks; a row is a source
-    schema = T.StructType([*src.schema.fields, T.StructField("_i", T.LongType())])
-    order = spark.createDataFrame(src.orderBy("_key").rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    # numbers along the order by key: a task of the sort holds a run of sources, and its count alone reaches the driver
+    src = materialize(src.orderBy("_key").withColumn("_at", F.monotonically_increasing_id()), "mix-sources")
+    task, place = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = dict(src.groupBy(task).agg(F.count(F.lit(1))).collect())
+    first = [0, *itertools.accumulate(counts.get(k, 0) for k in range(max(counts, default=0)))]
+    order = src.withColumn("_i", F.element_at(F.array(*[F.lit(n).cast("long") for n in first]), task + 1) + place).drop("_at")
     w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("_i", F.lit(len(weights))) + 1).cast("int"))
     src = materialize(order.withColumn("_w", w).drop("_i"), "mix-weights")
     total = src.agg(F.sum("source_size"), F.sum("_w")).first()

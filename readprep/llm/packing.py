@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PARTS, batches_of, materialize, part_of, ranked, table
+from .common import PARTS, batches_of, materialize, part_of, ranked, released, table
 
 WINDOW = 4096
 END = 2
@@ -77,6 +77,7 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END, with_ids: bool = False) -> DataFrame:
     """Each document's ids with `end` after them, cut into full windows and a remainder of 1 to window - 1 ids."""
 
+    @released
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tail = Encoder(vocabulary), np.array([end], "<u4").tobytes()
         for batch in batches_of(it):
@@ -184,6 +185,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END,
         raise ValueError("more pieces than ranks can number")
     shared = docs.sparkSession.sparkContext.broadcast((code, flat))  # its size depends on the window only
 
+    @released
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, flat = shared.value
         for batch in it:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, materialize, table, text_bytes, words_of
+from .common import batches_of, materialize, released, table, text_bytes, words_of
 
 FIT_ROWS = 60_000
 BINS = 48
@@ -212,6 +212,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     if n > rows:
         marked = marked.filter(F.pmod(F.xxhash64("_id", "_t", "y"), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
 
+    @released
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(it):
             x = features(*text_bytes(batch.column("text")))
@@ -235,6 +236,7 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
     """
     model = learn(docs, labels, rows)
 
+    @released
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(it):
             s = model.score(features(*text_bytes(batch.column("text"))))
@@ -251,6 +253,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) ->
     """
     model = learn(docs, labels, rows)
 
+    @released
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(it):
             yield batch.filter(pa.array(model.score(features(*text_bytes(batch.column("text")))) >= 0.5))

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, materialize, mix64, shuffle_parts, spread_join, table, text_bytes
+from .common import batches_of, materialize, mix64, released, shuffle_parts, spread_join, table, text_bytes
 
 LENGTH = 100
 GRAM = 24
@@ -297,6 +297,7 @@ def _deal(texts: DataFrame, length: int) -> DataFrame:
     """Segments whose minimizer is in `wanted`: (kind 0, minimizer, KEY, start, bytes), the first in its task of
     equal ones; or (kind 1, KEY, start, stop): bytes of a segment that an earlier one in the task equals."""
 
+    @released
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         known: dict[bytes, tuple[int, int, int, int]] = {}
@@ -333,6 +334,7 @@ def _deal(texts: DataFrame, length: int) -> DataFrame:
 def _shards(dealt: DataFrame, length: int, memory: int) -> DataFrame:
     """(KEY, start, stop) of repeats among the segments; a task builds suffix arrays of whole minimizers in turn."""
 
+    @released
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
@@ -382,6 +384,7 @@ def _hot(dealt: DataFrame, length: int) -> DataFrame:
     """(KEY, start, stop) of repeats among segments of very frequent minimizers: every string by its hash, its first
     place by an aggregate that is combined before the shuffle; all other places are repeats."""
 
+    @released
     def strings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches_of(it, 256 << 10, "bytes"):
             for batch in cut(whole):
@@ -428,6 +431,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY, hot: int
     base = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), (F.col("doc_id") if row is None else row).alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("h", F.xxhash64("text")).withColumn("g", F.xxhash64(F.lit(1), "text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
 
+    @released
     def minimizers(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(it):
             row_, _, _, m, multi = segments(*text_bytes(batch.column("text")), length)
@@ -437,6 +441,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY, hot: int
             many = np.add.reduceat(multi.astype(np.int64), first) + np.diff(np.r_[first, len(m)]) > 1 if len(m) else multi
             yield pa.RecordBatch.from_arrays([pa.array(m[first].astype(np.int64)), batch.column("h").take(pa.array(row_[first])), pa.array(many)], names=["minimizer", "h", "multi"])
 
+    @released
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches_of(it):
@@ -463,6 +468,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY, hot: int
     spans = spans.unionByName(dealt.filter("kind = 1").select(*KEY, "start", "stop"))
     spans = materialize(spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans")), f"{tag}-spans")  # as long as a text
 
+    @released
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in it:
@@ -508,6 +514,7 @@ def deduplicated_documents(docs: DataFrame) -> DataFrame:
     cols = docs.columns
     out = dedup(docs, row=F.struct(*[F.col(c) for c in cols]), with_text=True)
 
+    @released
     def text(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             kept = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
